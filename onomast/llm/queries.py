@@ -5,18 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from onomast.llm import decontaminate, mixing, token_counts, toxicity
+from onomast.llm import binary_codes, decontaminate, mixing, near_dup, shard_store, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures in global order of URL key and timestamp."""
+    index = warc.archive_and_index(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the shard that holds it after compaction."""
+    docs = _table(spark, sf_dir, "documents")
+    _, rows = shard_store.shard(docs)
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "source", "shard_id")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -25,12 +43,16 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op7_decontaminate, op8_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op3_token_counts, op4_shard_compaction, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
