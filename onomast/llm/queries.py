@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import binary_codes, decontaminate, mixing, near_dup, shard_store, token_counts, toxicity, warc
+from onomast.llm import binary_codes, decontaminate, mixing, near_dup, repeated_passages, shard_store, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "source", "shard_id")
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_token_counts, op4_shard_compaction, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op3_token_counts, op4_shard_compaction, op5_repeated_passages, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
