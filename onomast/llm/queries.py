@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import binary_codes, decontaminate, mixing, near_dup, repeated_passages, shard_store, token_counts, toxicity, warc
+from onomast.llm import binary_codes, decontaminate, disclosure, mixing, near_dup, repeated_passages, shard_store, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.span_digest(disclosure.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_token_counts, op4_shard_compaction, op5_repeated_passages, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_disclosure, op3_token_counts, op4_shard_compaction, op5_repeated_passages, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
