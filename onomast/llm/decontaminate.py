@@ -23,8 +23,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 13
 #: Maps each byte outside [0-9A-Za-z\x80-\xFF] to a blank and A-Z to a-z.
@@ -137,15 +138,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return out
 
 
-def contamination(hits: DataFrame) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256, contaminated in place of the working columns of :func:`find_hits`."""
+@F.pandas_udf(T.LongType())
+def _covered(spans: pd.Series) -> pd.Series:
+    return pd.Series([union_length([*zip(s[0::2], s[1::2])]) if len(s) else 0 for s in spans], dtype="int64")
+
 
-    @F.pandas_udf("long")
-    def covered(spans: pd.Series) -> pd.Series:
-        return pd.Series([union_length([*zip(s[0::2], s[1::2])]) if len(s) else 0 for s in spans], dtype="int64")
+def is_contaminated() -> Column:
+    """For a row of :func:`find_hits`: a twentieth of the words or more is benchmark text."""
+    return (_covered("__spans") > 0) & (20 * _covered("__spans") >= F.col("__n_words"))
 
+
+def contamination(hits: DataFrame) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256, contaminated in place of the working columns of :func:`find_hits`."""
     names = F.array_sort(F.transform("__items", lambda i: i.cast("string")))
-    out = hits.withColumns({"n_words": F.col("__n_words"), "n_hit": covered("__spans"), "n_items": F.size("__items").cast("long"), "items_sha256": F.sha2(F.array_join(names, ","), 256)})
+    out = hits.withColumns({"n_words": F.col("__n_words"), "n_hit": _covered("__spans"), "n_items": F.size("__items").cast("long"), "items_sha256": F.sha2(F.array_join(names, ","), 256)})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("__n_words", "__spans", "__items")
 
 

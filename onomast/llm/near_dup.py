@@ -95,6 +95,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": b["doc_id"],
+                "text_hash": b["text_hash"],
                 "n": [len(s) for s in sets],
                 "vertex": pd.array([set_key(s) if len(s) else None for s in sets], "Int64"),
                 "sig": [signature(s).tobytes() if len(s) else None for s in sets],
@@ -187,9 +188,10 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
     slim = docs.select("doc_id", "text")
-    signed = materialize(slim.mapInPandas(_sign, "doc_id long, n int, vertex long, sig binary"), "signatures")
+    signed = slim.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sign, "doc_id long, text_hash long, n int, vertex long, sig binary")
+    signed = materialize(signed, "signatures")
     classes = materialize(signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     trees = classes.select("vertex", "n", "sig").mapInPandas(_plant, _TREE_SCHEMA)
     candidates, large, nodes = _candidates(trees)
@@ -228,9 +230,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = joined.select("vertex", F.coalesce("component", "vertex").alias("component"), "least")
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     of_vertex = materialize(grouped.select("vertex", "component").join(materialize(named, "named"), "component").select("vertex", "component_id"), "of-vertex")
-    out = signed.select("doc_id", "n", "vertex").join(of_vertex, "vertex", "left")
+    out = signed.select("doc_id", "text_hash", "n", "vertex").join(of_vertex, "vertex", "left")
     component = F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 @F.pandas_udf(T.LongType())

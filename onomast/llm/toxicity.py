@@ -14,12 +14,12 @@ without any usable labelled row every score is 0. A null doc_id is not held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import textbuf as tb
@@ -106,7 +106,7 @@ def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8,
     return FactorizationMachine(slot, w0, w, v)
 
 
-def held_out(column: str = "doc_id"):
+def held_out(column: str = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo 5, is 0: the fold that no label is learnt from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -134,21 +134,21 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_row
     return fit(row, np.concatenate(terms).astype(np.int64), got["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine | None) -> DataFrame:
-    """Append ``score`` and ``predicted`` to all columns of ``docs`` (which must not have them)."""
+def score_of(spark: SparkSession, model: FactorizationMachine | None) -> Callable[[str], Column]:
+    """A function from the name of a text column to its score."""
     if model is None:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        return lambda text: F.lit(0.0)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series(sent.value.scores(*term_ids(texts.tolist()), len(texts)))
 
-    return docs.withColumn("score", scores("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = train(spark, docs, labels, max_train_rows)
-    slim = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return score(slim, model).select("doc_id", "held_out", "score", "predicted")
+    scored = docs.select("doc_id", held_out().alias("held_out"), score_of(spark, model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
