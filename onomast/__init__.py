@@ -1,0 +1,3 @@
+"""Identifier resolution and corpus preparation on Spark."""
+
+__version__ = "0.1.0"
