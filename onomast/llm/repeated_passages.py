@@ -282,7 +282,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = sized.where(F.col("n") <= GROUP).drop("n").repartition("h").sortWithinPartitions("h").mapInPandas(_compare, "key long, start long, end long")
     if not sizes.where(F.col("n") > GROUP).isEmpty():
         single = materialize(sized.where(F.col("n") > GROUP).drop("n").mapInPandas(_single_strings, "s long, key long, start long"), "single-strings")
-        twice = materialize(single.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "twice")
+        # Several anchors can stand in one string, so it is its place that must differ.
+        place = F.struct("key", "start")
+        twice = materialize(single.groupBy("s").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("s"), "twice")
         spans = spans.union(single.join(twice, "s").select("key", "start", (F.col("start") + LENGTH).alias("end")))
     of_text = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("m")).select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end")), "end-spans")
     late = settled.where("open").select("key", "doc_id", "text", "spans").join(of_text, "key", "left").select("doc_id", "text", "spans", "start", "end").mapInPandas(_finish, RESULT)
