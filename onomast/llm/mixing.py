@@ -188,9 +188,10 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = 11) -> DataF
 
 
 def copies_of(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mixed corpus itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed corpus itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``; rows without words
+    give the mix nothing and aren't taken."""
     rows, table, _, _ = plan_mix(docs, F.array("source"), seed)
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 32)
     keyed = docs.withColumns({"__order": order, "__pattern": F.xxhash64(F.array_sort(F.array_distinct(F.array("source"))), F.lit(1))})
     taken = keyed.join(F.broadcast(table), "__pattern").withColumn("__n", F.col("__copies") + (F.col("__order") < F.col("__cut")).cast("long"))
-    return taken.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    return taken.where((F.col("__n") > 0) & F.col("text").rlike(WORD)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

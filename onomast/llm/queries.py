@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures in global order of URL key and timestamp."""
     index = warc.archive_and_index(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_disclosure, op3_token_counts, op4_shard_compaction, op5_repeated_passages, op6_near_duplicates, op7_decontaminate, op8_mix, op9_near_vectors, op10_toxicity)}
 
 
+_COMPONENTS = """
+    reach as (select a as v, a as r from both_ways union select a, b from both_ways union select reach.v, both_ways.b from reach join both_ways on reach.r = both_ways.a)"""
+
+_SHINGLES = r"""
+    w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) when len(w) > 0 then [array_to_string(w, chr(1))] else [] end) as g from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    shared as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+    links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 75 * (na.n + nb.n - k))"""
+
+_GRAMS = r"""
+    dw as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+    iw as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+    p as (select distinct item_id, least(len(w), 13) as m, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) as g from iw where len(w) > 0),
+    ms as (select distinct m from p),
+    dg as (select doc_id, m, unnest(range(1, len(w) - m + 2)) as i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as g from dw, ms where len(w) >= m),
+    hits as (select doc_id, item_id, i, dg.m from dg join p on dg.m = p.m and dg.g = p.g),
+    words as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from hits) group by 1),
+    items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ids from (select distinct doc_id, cast(item_id as varchar) as k from hits) group by 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, cast(octet_length(encode(h)) as bigint) as n, sha256(h) as s from p),
+            f as (select *, min(page_id) over (partition by s) as first from d)
+            select page_id, n as payload_bytes, s as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from f""",
+        "op6_near_duplicates": f"""with recursive {_SHINGLES}, both_ways as (select a, b from links union all select b, a from links), {_COMPONENTS},
+            c as (select v, min(r) as component_id from reach group by 1)
+            select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, d.doc_id = coalesce(c.component_id, d.doc_id) as kept from documents d left join n using (doc_id) left join c on c.v = d.doc_id""",
+        "op7_decontaminate": f"""with {_GRAMS} select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from dw left join words using (doc_id) left join items using (doc_id)""",
+        "op9_near_vectors": f"""with recursive x as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+            both_ways as (select p.vec_id as a, q.vec_id as b from x p join x q on p.vec_id <> q.vec_id and len(p.e) = len(q.e) and list_cosine_similarity(p.e, q.e) >= 0.95), {_COMPONENTS},
+            c as (select v, min(r) as component_id from reach group by 1), n as (select a, count(*) as k from both_ways group by 1)
+            select vec_id, coalesce(k, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept from embeddings left join n on a = vec_id left join c on v = vec_id""",
+    }
