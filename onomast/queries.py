@@ -141,8 +141,9 @@ def group_table(spark, d):
 
 
 def near_misses(spark, d):
-    some = _table(spark, d, "customer").where("c_custkey % 11 = 0").select(F.col("c_name").alias("name"))
-    return nearmiss.find_near_misses(cluster.with_features(some))
+    """Customers numbered in steps of eleven: no number has a neighbour, so every lost digit is reported."""
+    sparse = _table(spark, d, "customer").select(F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") * 11).cast("string"), 12, "0")).alias("name"))
+    return nearmiss.find_near_misses(cluster.with_features(sparse))
 
 
 def near_misses_dense(spark, d):
@@ -155,8 +156,8 @@ def letter_variants(spark, d):
 
 
 def _lookup(spark, d) -> DataFrame:
-    """A decided mapping: all spellings but the last to the reference spelling; every seventh name undecided."""
-    rows = noisy(spark, d).where("v <> 7 and row_id % 7 <> 0")
+    """A decided mapping: all spellings but the last to the reference spelling; two spellings of a third of the names undecided."""
+    rows = noisy(spark, d).where("v <> 7 and not (b = '2' and v in (0, 5))")
     return rows.select(F.col("raw_name").alias("original"), F.concat(F.lit("patient"), "n", F.lit("_batch"), "b").alias("canonical"), (F.col("n").cast("int") + 1).alias("group"))
 
 
@@ -207,9 +208,8 @@ def qc_counts(spark, d):
 
 
 def qc_matrix(spark, d):
-    """The panel of at most 40 names is the feature."""
-    groups = _decided(spark, d).orderBy("id").limit(16)
-    return qc.similarity_matrix(groups).select("left", "right", F.round("similarity", 6).alias("similarity"))
+    """A panel of at most 40 names, which is the feature."""
+    return qc.similarity_matrix(_decided(spark, d)).select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 def model_guard(spark, d):
@@ -283,7 +283,7 @@ def _classify(a: str, b: str) -> str:
 
 _PAIRS = f"with {_NOISY}, pairs as (select x.n, x.v as va, y.v as vb, x.raw_name as a, y.raw_name as b from noisy x join noisy y on x.n = y.n and x.v < y.v)"
 _GROUPS = "grouped as (select raw_name as name, case when v = 7 then raw_name else min(case when v <> 7 then raw_name end) over (partition by n) end as \"group\", n, b, v from noisy)"
-_LOOKUP = "lookup as (select raw_name as original, concat('patient', n, '_batch', b) as canonical, cast(n as int) + 1 as \"group\" from noisy where v <> 7 and row_id % 7 <> 0)"
+_LOOKUP = "lookup as (select raw_name as original, concat('patient', n, '_batch', b) as canonical, cast(n as int) + 1 as \"group\" from noisy where v <> 7 and not (b = '2' and v in (0, 5)))"
 _FACTS = "facts as (select o_orderkey, raw_name from orders join noisy on o_custkey = row_id)"
 _DECIDED = "decided as (select cast(row_id as int) as id, raw_name, concat('patient', n, '_batch', b) as final, case when row_id % 5 = 0 then 'rejected' else 'accepted' end as status from noisy)"
 _APPLIED = "applied as (select o_orderkey, raw_name, coalesce(canonical, raw_name) as raw_name_canonical from facts left join lookup on raw_name = original)"
@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "canonical_names": f"with {_NOISY}, {_GROUPS} select distinct \"group\", case when v = 7 then name else concat('patient', n, '_batch', b) end as proposed from grouped",
         "group_table": f"""with {_NOISY}, {_GROUPS}, g as (select "group", string_agg(name, '|' order by name) as members, max(case when v = 7 then name else concat('patient', n, '_batch', b) end) as proposed, count(*) as k from grouped group by 1)
             select cast(row_number() over (order by "group") as int) as id, members, proposed, proposed as final, 'proposed' as status, k as rows, 'damerau' as method, case when k > 1 then cast(0.1667 as double) end as min_similarity from g""",
-        "near_misses": "with c as (select c_name as name, cast(c_custkey as varchar) as d from customer where c_custkey % 11 = 0), x as (select distinct name, concat(substr(d, 1, i - 1), substr(d, i + 1)) as d from (select name, d, unnest(range(1, length(d) + 1)) as i from c)) select distinct least(x.name, c.name) as \"left\", greatest(x.name, c.name) as \"right\" from x join c on x.d = c.d",
+        "near_misses": "with c as (select concat('Customer#', lpad(cast(c_custkey * 11 as varchar), 12, '0')) as name, cast(c_custkey * 11 as varchar) as d from customer), x as (select distinct name, concat(substr(d, 1, i - 1), substr(d, i + 1)) as d from (select name, d, unnest(range(1, length(d) + 1)) as i from c)) select distinct least(x.name, c.name) as \"left\", greatest(x.name, c.name) as \"right\" from x join c on x.d = c.d",
         "near_misses_dense": "select source as \"left\", source as \"right\" from documents where false",
         "letter_variants": f"with {_NOISY} select least(x.raw_name, y.raw_name) as \"left\", greatest(x.raw_name, y.raw_name) as \"right\" from noisy x join noisy y on x.n = y.n and x.v in (0, 5) and y.v = 7",
         "apply_lookup": f"with {_NOISY}, {_LOOKUP}, {_FACTS}, {_APPLIED} select * from applied",
