@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = mixed.join(classes, ["h", "x"]).select("key", "pos", F.when(one, 3).when(lends, 2).otherwise(0).alias("kind"), "h")
     marks = repeated.where("same").select("key", "pos", F.lit(0).alias("kind"), "h").union(kinds)
     # kind: bit 0, not known to be repeated; bit 1, its bytes are compared.
-    by_text = marks.groupBy("key").agg(F.collect_list(F.struct("pos", "kind", "h")).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.kind").alias("kind"), F.col("m.h").alias("h"))
+    by_text = marks.groupBy("key").agg(F.collect_set(F.struct("pos", "kind", "h")).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.kind").alias("kind"), F.col("m.h").alias("h"))
     by_text = materialize(by_text, "marks")
     settled = materialize(keyed.join(by_text, "key", "left").select("doc_id", "key", "text", "pos", "kind", "h").mapInPandas(_settle, _SETTLE), "settled")
     ends = settled.where("ends is not null").select("key", F.explode("ends").alias("e")).select("key", "e.h", "e.pos", "e.left", "e.around")
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         place = F.struct("key", "start")
         twice = materialize(single.groupBy("s").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("s"), "twice")
         spans = spans.union(single.join(twice, "s").select("key", "start", (F.col("start") + LENGTH).alias("end")))
-    of_text = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("m")).select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end")), "end-spans")
+    of_text = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end")), "end-spans")
     late = settled.where("open").select("key", "doc_id", "text", "spans").join(of_text, "key", "left").select("doc_id", "text", "spans", "start", "end").mapInPandas(_finish, RESULT)
     return settled.where("not open").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(late)
 
