@@ -92,8 +92,10 @@ def _names(a: argparse.Namespace) -> None:
 
 
 def _plot(a: argparse.Namespace) -> None:
-    groups = artifact.groups_frame(_session(), artifact.read(a.mapping))
-    panels = {"matrix": qc.similarity_matrix(groups), "sizes": qc.group_sizes(groups), "counts": qc.before_after(groups)}
+    mapping, spark = artifact.read(a.mapping), _session()
+    groups = artifact.groups_frame(spark, mapping)
+    near = spark.createDataFrame([tuple(p) for p in mapping.near_misses], "left string, right string")
+    panels = {"matrix": qc.similarity_matrix(groups), "sizes": qc.group_sizes(groups), "counts": qc.before_after(groups, near), "flags": qc.flags(groups, near)}
     Path(a.output).write_text(json.dumps({k: [r.asDict() for r in v.collect()] for k, v in panels.items()}, ensure_ascii=False, indent=2))
 
 

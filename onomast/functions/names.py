@@ -97,10 +97,9 @@ def is_canonical(name: Column) -> Column:
 
 
 def shorten(label: Column, width: int = 26) -> Column:
-    """At most ``width`` characters, the middle replaced by an ellipsis."""
-    head = (width - 1 + 1) // 2
-    tail = width - 1 - head
-    return F.when(F.length(label) <= width, label).otherwise(F.concat(F.left(label, F.lit(head)), F.lit("…"), F.right(label, F.lit(tail))))
+    """A label of more than ``width`` characters keeps as many at both ends, around an ellipsis."""
+    side = F.lit((width - 1) // 2)
+    return F.when(F.length(label) <= width, label).otherwise(F.concat(F.left(label, side), F.lit("…"), F.right(label, side)))
 
 
 def features(name: Column) -> dict[str, Column]:

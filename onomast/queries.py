@@ -199,12 +199,23 @@ def resolved_mapping(spark, d):
     return artifact.lookup_of(_decided(spark, d))
 
 
+def _proposed(spark, d) -> tuple[DataFrame, DataFrame]:
+    counts = _counts(spark, d)
+    table = materialize(propose_groups(counts, "damerau"), "proposed")
+    return table, nearmiss.find_letter_variants(cluster.with_features(counts.select("name")))
+
+
 def qc_sizes(spark, d):
-    return qc.group_sizes(_decided(spark, d))
+    return qc.group_sizes(_proposed(spark, d)[0])
 
 
 def qc_counts(spark, d):
-    return qc.before_after(_decided(spark, d))
+    return qc.before_after(*_proposed(spark, d))
+
+
+def qc_flags(spark, d):
+    """A report of nine rows, which is the feature."""
+    return qc.flags(*_proposed(spark, d))
 
 
 def qc_matrix(spark, d):
@@ -224,7 +235,7 @@ def model_guard(spark, d):
 ALL = (
     name_prepare, name_tokens, name_skeleton, name_normalise, name_signature, name_deletions, distance_pairs, osa_distance, difference_label, match_predicate,
     name_counts, skeleton_corpus, name_profile, group_rules, group_damerau, canonical_names, group_table, near_misses, near_misses_dense, letter_variants,
-    apply_lookup, change_log, joined_without_decision, change_summary, collisions, resolved_mapping, qc_sizes, qc_counts, qc_matrix, model_guard,
+    apply_lookup, change_log, joined_without_decision, change_summary, collisions, resolved_mapping, qc_sizes, qc_counts, qc_flags, qc_matrix, model_guard,
 )
 
 
@@ -295,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "name_prepare": f"with {_names_sql(True)} select name, {_prep('name')} as prepared from names",
         "name_tokens": f"with {_names_sql(True)} select name, array_to_string({_tokens('name')}, '|') as tokens, array_to_string(list_filter(list_transform({_tokens('name')}, lambda t: {_letters('t')}), lambda t: t <> ''), '|') as letters from names",
-        "name_skeleton": f"with {_names_sql(True)} select name, {skeleton('name')} as skeleton, regexp_full_match(name, '[a-z0-9_]+') and regexp_matches(name, '[^_]') as canonical, case when length(name) <= 26 then name else concat(left(name, 13), '…', right(name, 12)) end as label from names",
+        "name_skeleton": f"with {_names_sql(True)} select name, {skeleton('name')} as skeleton, regexp_full_match(name, '[a-z0-9_]+') and regexp_matches(name, '[^_]') as canonical, case when length(name) <= 26 then name else concat(left(name, 12), '…', right(name, 12)) end as label from names",
         "name_normalise": f"with {_names_sql(False)} select name, {_norm('name')} as norm from names",
         "name_signature": f"with {_names_sql(False)} select name, {_sig('name')} as signature from names",
         "name_deletions": "select distinct p_brand, concat(substr(p_brand, 1, i - 1), substr(p_brand, i + 1)) as deletion from (select p_brand, unnest(range(1, length(p_brand) + 1)) as i from (select distinct p_brand from part))",
@@ -324,7 +335,8 @@ def oracle_sql() -> dict[str, str]:
         "change_summary": f"with {_NOISY}, {_LOOKUP}, {_FACTS}, {_APPLIED}, {_CHANGES} select count(*) as total_rows, count(distinct raw_name) as unique_names, cast(sum(cast(raw_name <> raw_name_canonical as int)) as bigint) as rows_changed, (select count(*) from changes) as names_in_the_mapping, (select count(*) from changes where changed) as names_changed, (select count(*) from changes where not changed) as names_unchanged from applied",
         "collisions": f"with {_NOISY}, {_DECIDED} select case when status = 'rejected' then raw_name else final end as name, string_agg(cast(id as varchar), '|' order by id) as ids from decided group by 1 having count(*) > 1",
         "resolved_mapping": f"with {_NOISY}, {_DECIDED} select raw_name as original, case when status = 'rejected' then raw_name else final end as canonical, id as \"group\" from decided",
-        "qc_sizes": f"with {_NOISY}, {_DECIDED} select id, final as label, 1 as spellings, cast(1 as bigint) as rows from decided",
-        "qc_counts": f"with {_NOISY}, {_DECIDED} select count(*) as names_before, count(distinct case when status = 'rejected' then raw_name else final end) as names_after from decided",
+        "qc_sizes": f"with {_NOISY}, {_GROUPS}, g as (select *, dense_rank() over (order by \"group\") as id from grouped) select cast(id as int) as id, concat('patient', max(n), '_batch', max(b)) as label, cast(count(*) as int) as spellings, count(*) as rows from g where v <> 7 group by id having count(*) > 1",
+        "qc_counts": f"with {_NOISY}, {_GROUPS} select count(*) as names, count(distinct \"group\") as samples, count(distinct case when v <> 7 then n end) as merges, (select count(*) from noisy x join noisy y on x.n = y.n and x.v in (0, 5) and y.v = 7) as near_misses from grouped",
+        "qc_flags": f"with {_NOISY} select least(x.raw_name, y.raw_name) as name, greatest(x.raw_name, y.raw_name) as other, 'substitution' as difference, 'no' as merged from noisy x join noisy y on x.n = y.n and x.v in (0, 5) and y.v = 7 order by name, other limit 9",
         "model_guard": f"with {_NOISY}, f as (select raw_name as name, n, b, {_sig('raw_name')} as s, {skeleton('raw_name')} as k from noisy), whole as (select s, bool_or(k = 'batientbatch') and bool_or(k = 'patientbatch') as bad from f group by 1), g as (select f.*, case when bad then min(name) over (partition by f.s, k) else min(name) over (partition by f.s) end as \"group\", bad from f join whole using (s)) select name, \"group\", case when n = '1' and (not bad or {skeleton(chr(34) + 'group' + chr(34))} = 'patientbatch') then concat('patient1_batch', b) else {_norm(chr(34) + 'group' + chr(34))} end as proposed from g",
     }
