@@ -94,8 +94,10 @@ def _terms_beside(kind: str, gaps: Column) -> Callable[[Column, Column], Column]
         terms = F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(WORD), F.lit(0))
         value = {"email": F.lower(m), "ip": m}.get(kind, F.regexp_replace(m, "[^0-9]", ""))
         entity = F.concat(F.lit(f"{kind}:"), value, F.lit("\n"))
-        # The entity itself is listed with an empty term, for its document count.
-        return F.when(_valid(kind, m), F.transform(F.array_append(terms, F.lit("")), lambda t: F.concat(entity, t))).otherwise(none)
+        # The entity itself is listed with an empty term, for its document count; a term with an empty entity, for the documents
+        # that have it next to any entity.
+        pairs = F.transform(F.array_append(terms, F.lit("")), lambda t: F.concat(entity, t))
+        return F.when(_valid(kind, m), F.concat(pairs, F.transform(terms, lambda t: F.concat(F.lit("\n"), t)))).otherwise(none)
 
     return words
 
@@ -125,14 +127,21 @@ def disclosing_terms(texts: DataFrame, alpha: float = ALPHA, support: int = SUPP
     """term, certain: the terms to sanitise; certain if every document with the term has it next to one entity."""
     pairs = texts.select(F.explode(_near(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     pairs = materialize(pairs.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "near-entities")
-    entities = materialize(pairs.where("term = ''").select("entity", F.col("n").alias("n_entity")), "entities")
-    near = pairs.where("term <> ''")
+    entities = materialize(pairs.where("entity <> '' and term = ''").select("entity", F.col("n").alias("n_entity")), "entities")
+    beside = materialize(pairs.where("entity = '' and term <> ''").select("term", F.col("n").alias("n_beside")), "beside-any")
+    near = pairs.where("entity <> '' and term <> ''")
     total = texts.count()
-    counts = materialize(_occurrences(texts, near).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
-    known = materialize(near.join(entities, "entity").select("term", "n", "n_entity"), "near-known").join(counts, "term")
-    share = F.col("n") / F.col("n_term")
-    pmi, ic = F.log2(share * total / F.col("n_entity")), F.log2(total / F.col("n_entity"))
-    return materialize(known.where((ic > 0) & (pmi >= alpha * ic)).groupBy("term").agg(F.max(share >= 1).alias("certain")), "disclosing")
+    ic = F.log2(total / F.col("n_entity"))
+
+    def discloses(n_term: str) -> Column:
+        return (ic > 0) & (F.log2(F.col("n") / F.col(n_term) * total / F.col("n_entity")) >= alpha * ic)
+
+    # A term is in n_beside documents at least, so what fails with that count fails with the true one, which is counted for the rest.
+    known = materialize(near.join(entities, "entity").select("term", "n", "n_entity"), "near-known").join(beside, "term")
+    known = materialize(known.where(discloses("n_beside")).select("term", "n", "n_entity"), "near-likely")
+    counts = materialize(_occurrences(texts, known).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
+    likely = known.join(counts, "term")
+    return materialize(likely.where(discloses("n_term")).groupBy("term").agg(F.max(F.col("n") >= F.col("n_term")).alias("certain")), "disclosing")
 
 
 def find_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
