@@ -1,8 +1,9 @@
 """WARC archives with identical-payload revisits, and an index of their captures by external merge.
 
-Write: each page becomes one WARC/1.1 record. Of pages with equal payloads of at least 100 bytes, the one with the smallest
-page_id is a response with its payload, the others are revisit records that refer to it. Archives are plain files of about
-``ARCHIVE_BYTES`` in the shared folder, written by Spark's own writer, a record a row.
+Write: each page becomes one WARC/1.1 record, in archives compressed as a whole (offsets are those of the unpacked archive). Of
+pages with equal payloads of at least 100 bytes, the one with the smallest page_id is a response with its payload, the others are
+revisit records that refer to it. Archives unpack to about ``ARCHIVE_BYTES`` and are written to the shared folder by Spark's own
+writer, a record a row.
 
 Read: every archive is parsed by content length; payload digests are computed again from the bytes. Each archive yields its
 captures as a run sorted by URL key and timestamp; runs are written out. Merge: the key space is cut into ranges from a sample
@@ -20,6 +21,7 @@ no other; a null or unparsable URL is indexed under "-"; no pages give an empty
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -101,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, ts: str | None = None, archive_b
         *line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    joined.select(F.concat(header, block).alias("value")).write.option("lineSep", END).text(path)
+    joined.select(F.concat(header, block).alias("value")).write.options(lineSep=END, compression="gzip").text(path)
 
 
 def records(archive: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -125,7 +127,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
             rows = []
-            for offset, length, f, block in records(memoryview(bytes(content))):
+            for offset, length, f, block in records(memoryview(gzip.decompress(content))):
                 payload = bytes(block)[bytes(block[:512]).find(b"\r\n\r\n") + 4 :]
                 kind = f["WARC-Type"]
                 digest = hashlib.sha256(payload).hexdigest() if kind == "response" else f["WARC-Payload-Digest"].removeprefix("sha256:")
