@@ -9,8 +9,8 @@
    meets the node's least vertex; what is then still apart from that vertex's component is held against every vertex of the
    node, so no cap is left without an exact way.
 3. Candidates whose sizes or one-bit sketches rule out the threshold go (more than five standard deviations below it). Each
-   vertex first confirms its least candidate on the full sets; candidates that are then in one component need no comparison,
-   all others are confirmed too.
+   vertex first confirms its least candidate, of its small regions and of the least vertices, on the full sets; candidates that are
+   then in one component need no comparison and are not made in the deeper regions, all others are confirmed too.
 4. Components of the confirmed links, carried back to the documents of each class.
 
 Scale: the text is read twice, once for the signatures and once for the sets of candidate vertices. Every exchange deals out
@@ -137,30 +137,44 @@ def _pairs(left_right: DataFrame) -> DataFrame:
 
 
 def _within(rows: DataFrame, *key: str) -> DataFrame:
-    """Candidates of regions of bounded size: each vertex with the later ones of its region."""
-    regions = rows.groupBy(*key).agg(F.sort_array(F.collect_list(_vertex())).alias("all")).where(F.size("all") > 1)
-    return _pairs(regions.select(F.posexplode("all").alias("i", "l"), "all").select("l", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("r")))
-
-
-def _candidates(trees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidate pairs, vertices of nodes that are too large at full depth, those nodes)."""
-    found, rows = [], trees
-    for d in LADDER:
-        p = f"p{d}"
-        nodes = materialize(rows.groupBy(p).agg(F.count("*").alias("c"), F.min(_vertex()).alias("least")).where("c > 1"), f"forest-{p}")
-        inside = materialize(rows.join(nodes, p), f"region-{p}")
-        found.append(_within(inside.where(F.col("c") <= REGION), p))
+    """Candidates of regions of bounded size: each vertex with the later ones of its region, but for those of its component."""
+    known = rows if "home" in rows.columns else rows.withColumn("home", F.col("v"))
+    regions = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("v", "n", "s1", "s2", "home"))).alias("all")).where(F.size("all") > 1)
+    later = F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda r: r["home"] != F.col("l.home"))
+    return _pairs(regions.select(F.posexplode("all").alias("i", "l"), "all").select("l", F.explode(later).alias("r")))
+
+
+def _nodes(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows whose prefix of this depth is shared, with the node's size ``c`` and its ``least`` vertex."""
+    p = f"p{depth}"
+    rows = rows.drop("c", "least")
+    nodes = materialize(rows.groupBy(p).agg(F.count("*").alias("c"), F.min(_vertex()).alias("least")).where("c > 1"), f"forest-{p}")
+    return materialize(rows.join(nodes, p), f"region-{p}")
+
+
+def _to_least(rows: DataFrame) -> DataFrame:
+    return _pairs(rows.select(_vertex().alias("l"), F.col("least").alias("r")))
+
+
+def _descend(large: DataFrame) -> tuple[list[DataFrame], list[tuple[DataFrame, tuple[str, ...]]], DataFrame]:
+    """Below the first depth: candidates with the least vertex of each node, regions to compare within (rows and key), and the rows
+    of nodes that are too large at full depth."""
+    stars, regions, rows = [_to_least(large)], [], large
+    for d in LADDER[1:]:
+        inside = _nodes(rows, d)
+        regions.append((inside.where(F.col("c") <= REGION), (f"p{d}",)))
         rows = inside.where(F.col("c") > REGION)
-        found.append(_pairs(rows.select(_vertex().alias("l"), F.col("least").alias("r"))))
-        if d != LADDER[-1]:
-            rows = rows.drop("c", "least")
-    last = f"p{LADDER[-1]}"
+        stars.append(_to_least(rows))
     cells = F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / REGION))
-    found.append(_within(rows.withColumn("cell", cells), last, "cell"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct(), rows.select(last, "v", "n", "s1", "s2"), rows.groupBy(last).agg(F.first("least").alias("least"))
+    regions.append((rows.withColumn("cell", cells), (f"p{LADDER[-1]}", "cell")))
+    return stars, regions, rows
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
 
 
 @F.pandas_udf(T.BooleanType())
@@ -189,42 +203,47 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
+    tb.small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     signed = slim.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sign, "doc_id long, text_hash long, n int, vertex long, sig binary")
     signed = materialize(signed, "signatures")
-    classes = materialize(signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     trees = classes.select("vertex", "n", "sig").mapInPandas(_plant, _TREE_SCHEMA)
-    candidates, large, nodes = _candidates(trees)
-    candidates = materialize(candidates, "candidates")
-    large, nodes = materialize(large, "large"), materialize(nodes, "nodes")
+    inside = _nodes(trees, LADDER[0])
+    large = inside.where(F.col("c") > REGION)
+    stars, regions, full = _descend(large)
+    candidates = materialize(_union([_within(inside.where(F.col("c") <= REGION), f"p{LADDER[0]}"), *stars]).distinct(), "candidates")
 
     def sets_of(vertices: DataFrame, name: str) -> DataFrame:
-        wanted = vertices.distinct().join(classes.select(F.col("vertex").alias("v"), "least"), "v").select("v", F.col("least").alias("doc_id"))
+        wanted = vertices.distinct().join(classes.select(F.col("vertex").alias("v"), "rep"), "v").select("v", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield pd.DataFrame({"v": b["v"], "shingles": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
 
-        # Several rows may have the doc_id of a class; the one whose set has the class's key is meant, and copies are equal.
-        read = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["doc_id"])).select("v", "text").mapInPandas(cut, "v long, shingles binary")
+        # Repeated rows and rows without a doc_id can match more than once; equal texts have equal sets, of which one is kept.
+        hashed = slim.withColumn("hash", F.xxhash64("text"))
+        read = hashed.join(wanted, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["hash"] == wanted["hash"])).select("v", "text").mapInPandas(cut, "v long, shingles binary")
         return materialize(read.where(_key("shingles") == F.col("v")).groupBy("v").agg(F.first("shingles").alias("shingles")), name)
 
-    sets = sets_of(candidates.select(F.col("a").alias("v")).union(candidates.select("b")), "sets")
+    sets = sets_of(candidates.select(F.col("a").alias("v")).union(candidates.select("b")).union(large.select("v")), "sets")
     first = candidates.groupBy("a").agg(F.min("b").alias("b"))
     links = _confirm(first, sets, "links-1")
     components = connected_components(links, "near-1")
-    links = links.union(_confirm(_apart(candidates, components), sets, "links-2"))
+    home = components.select(F.col("id").alias("v"), F.col("component").alias("home"))
+    at_home = lambda rows: rows.join(home, "v", "left").withColumn("home", F.coalesce("home", "v"))
+    deeper = _union([_within(at_home(rows), *key) for rows, key in regions])
+    links = links.union(_confirm(_apart(candidates, components).union(deeper).distinct(), sets, "links-2"))
     components = connected_components(links, "near-2")
-    if not large.isEmpty():
+    if not full.isEmpty():
         last = f"p{LADDER[-1]}"
         home = components.select(F.col("id"), F.col("component"))
-        rest = large.join(nodes, last).select(last, _vertex().alias("l"), F.col("least.v").alias("hub"))
+        rest = full.select(last, _vertex().alias("l"), F.col("least.v").alias("hub"))
         rest = rest.join(home.toDF("v_id", "cv"), F.col("l.v") == F.col("v_id"), "left").join(home.toDF("h_id", "ch"), F.col("hub") == F.col("h_id"), "left")
         rest = materialize(rest.where(F.coalesce("cv", "l.v") != F.coalesce("ch", "hub")).select(last, "l"), "rest")
         if not rest.isEmpty():
-            more = materialize(_apart(_pairs(rest.join(large.select(last, _vertex().alias("r")), last)).distinct(), components), "rest-pairs")
-            extra = sets_of(more.select(F.col("a").alias("v")).union(more.select("b")), "rest-sets")
-            components = connected_components(links.union(_confirm(more, extra, "links-3")), "near-3")
+            more = _apart(_pairs(rest.join(full.select(last, _vertex().alias("r")), last)).distinct(), components)
+            components = connected_components(links.union(_confirm(more, sets, "links-3")), "near-3")
     # A component's id is its least doc_id, so the least of each class is taken over the component's classes.
     joined = classes.select("vertex", "least").join(components.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     grouped = joined.select("vertex", F.coalesce("component", "vertex").alias("component"), "least")
