@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from onomast.llm.textbuf import small_batches
+
 WINDOW = 13
 #: Maps each byte outside [0-9A-Za-z\x80-\xFF] to a blank and A-Z to a-z.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -132,6 +134,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     """All columns of ``docs`` plus ``__n_words long, __spans array<long>`` (start, end alternating, in words) and
     ``__items array<long>`` (distinct, unordered)."""
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.array().cast("array<long>"), "__items": F.array().cast("array<long>")})
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for block in [*_blocks(benchmark, block_bytes)] or [[]]:
         out = out.withColumn("__found", _searcher(sc.broadcast(build(block, window)))("text", "__spans", "__items")).withColumns({"__n_words": F.col("__found.n"), "__spans": F.col("__found.spans"), "__items": F.col("__found.items")}).drop("__found")

@@ -9,16 +9,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 512
 
 _letter_values = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python workers at most ``BATCH_ROWS`` at a time: their memory is beside the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(*ranges: tuple[int, int]) -> np.ndarray:
     """A 256-entry boolean table, true inside the given inclusive byte ranges."""
     out = np.zeros(256, bool)

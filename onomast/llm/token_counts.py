@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onomast.llm.textbuf import small_batches
+
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END_MARK = "</w>"
@@ -124,6 +126,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens for every document."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("n_words long, n_tokens long")
     def count(texts: pd.Series) -> pd.DataFrame:
         c = counter(vocabulary)

@@ -113,6 +113,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> FactorizationMachine | None:
     """Fit on a sample of labelled documents outside the held-out fold; None without any."""
+    tb.small_batches(spark)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("__label"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     n = usable.count()
