@@ -6,17 +6,19 @@
    prefix hashes are the nodes of the tree. Depth adapts to the region: a node of at most ``REGION`` vertices yields its
    vertices as candidates; the vertices of a larger node descend to the next length, and also meet the node's least vertex.
    Vertices that share even the longest prefix in a node above ``REGION`` are dealt into cells of about that size, and each also
-   meets the node's least vertex; what is then still apart from that vertex's component is held against every vertex of the
-   node, so no cap is left without an exact way.
+   meets the node's least vertex. This finds most links of large nodes cheaply; step 4 finds all.
 3. Candidates whose sizes or one-bit sketches rule out the threshold go (more than five standard deviations below it). Each
    vertex first confirms its least candidate, of its small regions and of the least vertices, on the full sets; candidates that are
    then in one component need no comparison and are not made in the deeper regions, all others are confirmed too.
-4. Components of the confirmed links, carried back to the documents of each class.
+4. Vertices of a large first node that still holds more than one component are joined on the prefixes of their full sets in an
+   order from rare to common shingles, whatever became of them at greater depth. Every pair at the threshold shares a prefix
+   shingle, so no cap is left without an exact way. Pairs of different components are confirmed.
+5. Components of the confirmed links, carried back to the documents of each class.
 
 Scale: the text is read twice, once for the signatures and once for the sets of candidate vertices. Every exchange deals out
 small rows by a hash of a prefix or vertex; counts are combined on the map side; joins on a hot key are against a written table,
-so the adaptive skew join splits them. A pair at a similarity of exactly 0.75 is missed with a probability of about 2e-6
-in regions that stay at the first depth.
+so the adaptive skew join splits them. A pair at a similarity of exactly 0.75 is missed with a probability of about 2e-6, that of
+sharing no first node; the size of the nodes it shares doesn't matter. What is broadcast has 2^20 counters (8 MB).
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer than five words has one
 shingle, its whole word sequence; a null doc_id is never a component's id unless no member has one, and then the id is null;
@@ -45,6 +47,8 @@ LADDER = (3, 5, 8, 12)
 REGION = 24
 #: Least number of equal sketch bits (of 128) for a candidate; at a similarity of 0.75 the mean is 112, one deviation 3.7.
 SKETCH_BITS = 94
+#: Slots that count how common shingles are, by their first bits; they set an order and decide nothing else.
+SLOT_BITS = 20
 
 _rng = np.random.default_rng(97)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -156,9 +160,8 @@ def _to_least(rows: DataFrame) -> DataFrame:
     return _pairs(rows.select(_vertex().alias("l"), F.col("least").alias("r")))
 
 
-def _descend(large: DataFrame) -> tuple[list[DataFrame], list[tuple[DataFrame, tuple[str, ...]]], DataFrame]:
-    """Below the first depth: candidates with the least vertex of each node, regions to compare within (rows and key), and the rows
-    of nodes that are too large at full depth."""
+def _descend(large: DataFrame) -> tuple[list[DataFrame], list[tuple[DataFrame, tuple[str, ...]]]]:
+    """Below the first depth: candidates with the least vertex of each node and regions to compare within (rows and key)."""
     stars, regions, rows = [_to_least(large)], [], large
     for d in LADDER[1:]:
         inside = _nodes(rows, d)
@@ -167,7 +170,7 @@ def _descend(large: DataFrame) -> tuple[list[DataFrame], list[tuple[DataFrame, t
         stars.append(_to_least(rows))
     cells = F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / REGION))
     regions.append((rows.withColumn("cell", cells), (f"p{LADDER[-1]}", "cell")))
-    return stars, regions, rows
+    return stars, regions
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -201,6 +204,72 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _torn(large: DataFrame, components: DataFrame) -> DataFrame:
+    """``v`` and ``home`` of the vertices of large first nodes that hold more than one component."""
+    home = components.select(F.col("id").alias("v"), F.col("component").alias("home"))
+    p = f"p{LADDER[0]}"
+    rows = materialize(large.select(p, "v").join(home, "v", "left").select(p, "v", F.coalesce("home", "v").alias("home")), "at-home")
+    nodes = materialize(rows.groupBy(p).agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select(p), "torn-nodes")
+    return materialize(rows.join(nodes, p).select("v", "home").distinct(), "torn")
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _commonness(rows: DataFrame) -> np.ndarray:
+    """For each slot, the number of shingles of all sets that fall into it: a bounded estimate of how common a shingle is."""
+    part = 1 << 12
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            np.add.at(n, _slot(np.frombuffer(b"".join(b["shingles"]), np.uint64)), 1)
+        yield pd.DataFrame({"part": range(len(n) // part), "n": [n[i : i + part].tobytes() for i in range(0, len(n), part)]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": pdf["part"][:1], "n": [sum(np.frombuffer(x, np.int64) for x in pdf["n"]).tobytes()]})
+
+    counted = rows.select("shingles").mapInPandas(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary")
+    return np.concatenate([np.frombuffer(r["n"], np.int64) for r in sorted(counted.collect(), key=lambda r: r["part"])])
+
+
+def _sharing_prefix(torn: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different components that can be at the threshold, by prefixes of the full sets.
+
+    With every set in one order, a pair at the threshold shares a shingle of the first n - ceil(2t/(1+t) n) + 1 of the smaller set
+    and the first m - ceil(t m) + 1 of the larger. This holds for any order; with the common shingles last, what a family shares
+    is in no prefix unless its members are near the threshold.
+    """
+    rows = materialize(torn.join(sets, "v"), "torn-sets")
+    sent = rows.sparkSession.sparkContext.broadcast(_commonness(rows))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = sent.value
+        for b in batches:
+            cut, inner, n = [], [], []
+            for raw in b["shingles"]:
+                s = np.frombuffer(raw, np.uint64)
+                n.append(len(s))
+                cut.append(s[np.lexsort((s, common[_slot(s)]))][: n[-1] + (-PERCENT * n[-1]) // 100 + 1])
+                inner.append(np.arange(len(cut[-1])) < n[-1] + (-2 * PERCENT * n[-1]) // (100 + PERCENT) + 1)
+            if n:
+                rest = b[["v", "home"]].assign(n=n).loc[b.index.repeat([len(c) for c in cut])]
+                yield rest.assign(g=np.concatenate(cut).view(np.int64), inner=np.concatenate(inner))[["g", "v", "home", "n", "inner"]]
+
+    shared = materialize(rows.mapInPandas(prefixes, "g long, v long, home long, n int, inner boolean"), "prefixes")
+    # Of two components at a shingle, one at least is not the one with most vertices there: only its vertices are held against all.
+    sizes = shared.groupBy("g", "home").agg(F.count("*").alias("k"))
+    most = materialize(sizes.groupBy("g").agg(F.max_by("home", F.struct("k", "home")).alias("most"), F.count("*").alias("homes")).where("homes > 1").select("g", "most"), "mixed-shingles")
+    mixed = materialize(shared.join(most, "g"), "mixed")
+    left = mixed.where("home <> most").select("g", F.struct("v", "home", "n", "inner").alias("l"))
+    right = mixed.select("g", F.struct("v", "home", "n", "inner").alias("r"))
+    sizes_fit = 100 * F.least("l.n", "r.n").cast("long") >= PERCENT * F.greatest("l.n", "r.n").cast("long")
+    smaller = (F.col("l.inner") & (F.col("l.n") <= F.col("r.n"))) | (F.col("r.inner") & (F.col("r.n") <= F.col("l.n")))
+    met = left.join(right, "g").where((F.col("l.home") != F.col("r.home")) & sizes_fit & smaller)
+    return materialize(met.select(F.greatest("l.v", "r.v").alias("a"), F.least("l.v", "r.v").alias("b")).distinct(), "prefix-pairs")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
     tb.small_batches(docs.sparkSession)
@@ -211,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     trees = classes.select("vertex", "n", "sig").mapInPandas(_plant, _TREE_SCHEMA)
     inside = _nodes(trees, LADDER[0])
     large = inside.where(F.col("c") > REGION)
-    stars, regions, full = _descend(large)
+    stars, regions = _descend(large)
     candidates = materialize(_union([_within(inside.where(F.col("c") <= REGION), f"p{LADDER[0]}"), *stars]).distinct(), "candidates")
 
     def sets_of(vertices: DataFrame, name: str) -> DataFrame:
@@ -235,15 +304,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     deeper = _union([_within(at_home(rows), *key) for rows, key in regions])
     links = links.union(_confirm(_apart(candidates, components).union(deeper).distinct(), sets, "links-2"))
     components = connected_components(links, "near-2")
-    if not full.isEmpty():
-        last = f"p{LADDER[-1]}"
-        home = components.select(F.col("id"), F.col("component"))
-        rest = full.select(last, _vertex().alias("l"), F.col("least.v").alias("hub"))
-        rest = rest.join(home.toDF("v_id", "cv"), F.col("l.v") == F.col("v_id"), "left").join(home.toDF("h_id", "ch"), F.col("hub") == F.col("h_id"), "left")
-        rest = materialize(rest.where(F.coalesce("cv", "l.v") != F.coalesce("ch", "hub")).select(last, "l"), "rest")
-        if not rest.isEmpty():
-            more = _apart(_pairs(rest.join(full.select(last, _vertex().alias("r")), last)).distinct(), components)
-            components = connected_components(links.union(_confirm(more, sets, "links-3")), "near-3")
+    torn = _torn(large, components)
+    if not torn.isEmpty():
+        more = _sharing_prefix(torn, sets)
+        components = connected_components(links.union(_confirm(more, sets, "links-3")), "near-3")
     # A component's id is its least doc_id, so the least of each class is taken over the component's classes.
     joined = classes.select("vertex", "least").join(components.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     grouped = joined.select("vertex", F.coalesce("component", "vertex").alias("component"), "least")
