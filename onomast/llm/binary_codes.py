@@ -4,8 +4,9 @@
 2. Iterative quantisation on a bounded sample (``SAMPLE`` vectors, those with the smallest hashes): centre, rotate at random, then
    alternate signs and the rotation that best maps the data onto them. Several starts give as many rotations as bits are needed.
 3. Every vector gets a binary code; consecutive pieces of the code are the keys of the Hamming tables. Piece length follows the
-   number of vectors (about ``BUCKET`` vectors a bucket), the number of tables follows from it, so that a pair at the threshold,
-   whose bits agree with probability 1 - acos(0.95)/pi, shares a piece with probability 0.9999 or more.
+   number of vectors (about ``BUCKET`` vectors a bucket), the number of tables follows from it, so that a pair at the threshold
+   shares a piece with probability 0.9999 or more. How often its bits agree is taken from the sample, about the mean that the codes
+   are centred on: vectors with a common mean have wider angles there and get more tables.
 4. A bucket's vectors are compared by exact cosine in double precision, in blocks of bounded size; a pair is counted in the first
    table that brings it together, so nothing is counted twice and no list of pairs is shuffled: a block returns counts and the
    edges of a spanning forest.
@@ -48,11 +49,32 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
     return r
 
 
-def plan_tables(n: int, cosine: float) -> tuple[int, int]:
-    """(bits of a piece, number of tables) for n vectors."""
-    agree = 1 - math.acos(cosine) / math.pi
-    bits = max(3, math.ceil(math.log2(max(n, 2) / BUCKET)))
-    return bits, math.ceil(math.log(MISS) / math.log(1 - agree**bits))
+def agreement(sample: np.ndarray, mean: np.ndarray, cosine: float) -> np.ndarray:
+    """For each unit vector of the sample, how often a bit of its centred code agrees with that of a vector at the threshold.
+
+    The distance between the two stays, the radius about the mean doesn't: the smaller it is, the wider the centred angle."""
+    r = np.maximum(((sample - mean) ** 2).sum(1), 1e-12)
+    return np.maximum(0.5, 1 - np.arccos(np.clip(1 - (1 - cosine) / r, -1, 1)) / math.pi)
+
+
+def plan_tables(n: int, cosine: float, agree: np.ndarray | None = None) -> tuple[int, int]:
+    """(bits of a piece, number of tables) for n vectors; the mean miss over ``agree`` is at most ``MISS``. Shorter pieces are taken
+    where they cost less: a table costs one move of a vector and its comparisons."""
+    agree = np.array([1 - math.acos(cosine) / math.pi]) if agree is None else agree
+
+    def tables(bits: int) -> int:
+        miss = lambda t: np.mean((1 - agree**bits) ** t)
+        hi = 1
+        while miss(hi) > MISS:
+            hi *= 2
+        lo = hi // 2
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if miss(mid) > MISS else (lo, mid)
+        return hi
+
+    most = max(3, math.ceil(math.log2(max(n, 2) / BUCKET)))
+    return min(((b, tables(b)) for b in range(3, most + 1)), key=lambda p: p[1] * (1 + n / 2 ** p[0] / BUCKET))
 
 
 def _unit(raw: pd.Series) -> np.ndarray:
@@ -143,11 +165,11 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
 
 
 def _links_of_width(classes: DataFrame, dims: int, n: int, cosine: float, spark) -> DataFrame:
-    bits, tables = plan_tables(n, cosine)
     part = min(1.0, SAMPLE / max(n, 1))
     sample = classes.where(F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("v", "unit").toPandas().sort_values("v")
     x = _unit(sample["unit"]) if len(sample) else np.zeros((1, dims))
     mean = x.mean(0)
+    bits, tables = plan_tables(n, cosine, agreement(x, mean, cosine))
     rotations = np.concatenate([learn_rotation(x - mean, seed) for seed in range(math.ceil(bits * tables / dims))], axis=1)[:, : bits * tables]
     sent = spark.sparkContext.broadcast((mean, rotations))
     place = 1 << np.arange(bits, dtype=np.int64)

@@ -2,7 +2,9 @@
 
 import random
 
-from onomast.llm import near_dup
+import numpy as np
+
+from onomast.llm import binary_codes, near_dup
 
 
 def test_isolated_links_inside_a_large_family(spark, monkeypatch):
@@ -20,3 +22,18 @@ def test_isolated_links_inside_a_large_family(spark, monkeypatch):
     got = sorted(tuple(r)[:4] for r in near_dup.near_duplicates(frame).collect())
     want = sorted(near_dup.brute_force(rows))
     assert sum(not r[3] for r in want) == 40 and got == want
+
+
+def test_vectors_with_a_common_mean(spark, monkeypatch):
+    monkeypatch.setattr(binary_codes, "BUCKET", 0.125)  # the bits of many vectors
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = np.eye(64)[:1]
+    apart = lambda x: unit(x - (x @ mean.T) * mean)
+    a = 0.9**0.5 * mean + 0.1**0.5 * apart(rng.normal(size=(60, 64)))
+    e = rng.normal(size=a.shape)
+    b = 0.955 * a + (1 - 0.955**2) ** 0.5 * unit(e - (e * a).sum(1, keepdims=True) * a)
+    vectors = np.concatenate([a, b]).tolist()
+    got = binary_codes.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    links = sum(w[1] for w in binary_codes.brute_force(list(range(120)), vectors))
+    assert links >= 120 and 0.97 * links <= sum(r["n_links"] for r in got) <= links
