@@ -6,7 +6,7 @@ of code points.
 Method (information-theoretic sanitisation): each distinct base value is a protected entity c. Over all documents, a term t (a word of
 three letters or more, lower-cased) co-occurs with c in a document if it stands within ``WINDOW`` code points of c. With
 p(c) = df(c)/D, t discloses c as far as PMI(c;t) = log2(p(c|t)/p(c)) comes to IC(c) = -log2 p(c). Terms with
-PMI >= ``ALPHA`` * IC in ``SUPPORT`` documents or more are sanitised wherever they occur: removed if nothing but c explains them
+PMI >= ``ALPHA`` * IC are sanitised, however few documents hold c, wherever they occur: removed if nothing but c explains them
 (p(c|t) = 1), else generalised to a placeholder. Term spans never overlap base spans; base spans are kept as they are.
 
 Scale: base spans need no exchange. Co-occurrence is counted in linear size (terms near an entity, not pairs of a document) and
@@ -39,7 +39,6 @@ PATTERNS = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = r"\p{L}{3,}"
 WINDOW = 64
-SUPPORT = 3
 ALPHA = 0.95
 BUCKETS = 1 << 20
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -123,9 +122,9 @@ def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return words.withColumn("bucket", _bucket()).join(buckets, "bucket", "left_semi").select("doc_id", "term")
 
 
-def disclosing_terms(texts: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(texts: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """term, certain: the terms to sanitise; certain if every document with the term has it next to one entity."""
-    pairs = texts.select(F.explode(_near(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    pairs = texts.select(F.explode(_near(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     pairs = materialize(pairs.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "near-entities")
     entities = materialize(pairs.where("entity <> '' and term = ''").select("entity", F.col("n").alias("n_entity")), "entities")
     beside = materialize(pairs.where("entity = '' and term <> ''").select("term", F.col("n").alias("n_beside")), "beside-any")
@@ -144,11 +143,11 @@ def disclosing_terms(texts: DataFrame, alpha: float = ALPHA, support: int = SUPP
     return materialize(likely.where(discloses("n_term")).groupBy("term").agg(F.max(F.col("n") >= F.col("n_term")).alias("certain")), "disclosing")
 
 
-def find_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_spans(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """All columns of ``docs`` plus ``__base`` and ``__terms``, arrays of spans; kinds by number in ``KINDS``, and for terms
     ``__certain``, those to remove."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    terms = disclosing_terms(texts, alpha, support)
+    terms = disclosing_terms(texts, alpha)
     hits = _occurrences(texts, terms).join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__all"), F.collect_set(F.when(F.col("certain"), F.col("term"))).alias("__certain"))
     hits = materialize(hits.withColumnRenamed("doc_id", "__id"), "term-hits")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -172,9 +171,9 @@ def span_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(F.col("__base")), 256).alias("base_sha256"), _written(everything).alias("spans"), F.size("__terms").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with its text sanitised: base spans replaced by their kind, disclosing terms generalised to ``[TERM]`` or removed."""
-    found = find_spans(docs, alpha, support)
+    found = find_spans(docs, alpha)
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from onomast.llm import binary_codes, near_dup
+from onomast.llm import binary_codes, disclosure, near_dup
 
 
 def test_isolated_links_inside_a_large_family(spark, monkeypatch):
@@ -37,3 +37,16 @@ def test_vectors_with_a_common_mean(spark, monkeypatch):
     got = binary_codes.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
     links = sum(w[1] for w in binary_codes.brute_force(list(range(120)), vectors))
     assert links >= 120 and 0.97 * links <= sum(r["n_links"] for r in got) <= links
+
+
+def letters(extra):
+    """Documents of common words, and ``extra`` from number 1000 on."""
+    rng = random.Random(5)
+    common = ["alpha", "beta", "gamma", "delta", "omega"]
+    return [(i, " ".join(rng.choices(common, k=30))) for i in range(200)] + [(1000 + i, t) for i, t in enumerate(extra)]
+
+
+def test_entities_in_one_or_two_documents(spark):
+    rows = letters(["alpha Zorblax bob@x.org beta", "alpha Quimby amy@x.org beta", "gamma Quimby amy@x.org delta"])
+    found = disclosure.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["term"], r["certain"]) for r in found if r["term"] not in ("bob", "amy")} == {("zorblax", True), ("quimby", True)}
