@@ -4,15 +4,15 @@ Base: emails, IPv4 addresses, card numbers (Luhn) and phone numbers by pattern,
 of code points.
 
 Method (information-theoretic sanitisation): each distinct base value is a protected entity c. Over all documents, a term t (a word of
-three letters or more, lower-cased) co-occurs with c in a document if it stands within ``WINDOW`` code points of c. With
+three letters or more, lower-cased) co-occurs with c in a document that holds both, wherever they stand. With
 p(c) = df(c)/D, t discloses c as far as PMI(c;t) = log2(p(c|t)/p(c)) comes to IC(c) = -log2 p(c). Terms with
 PMI >= ``ALPHA`` * IC are sanitised, however few documents hold c, wherever they occur: removed if nothing but c explains them
 (p(c|t) = 1), else generalised to a placeholder. Term spans never overlap base spans; base spans are kept as they are.
 
-Scale: base spans need no exchange. Co-occurrence is counted in linear size (terms near an entity, not pairs of a document) and
-combined on the map side. Words are counted over all documents, but only those whose hash bucket, one of ``BUCKETS``, holds a term that
-co-occurs often enough; the table of buckets is bounded by that number and broadcast. Terms of a document are a set no
-longer than the document.
+Scale: base spans need no exchange. Documents that hold an entity are written once as their distinct words and entities. Terms that
+no entity can reach by exact bounds on their counts go before any pair is made; words are counted over all documents, but only those
+whose hash bucket, one of ``BUCKETS``, holds a term that is left; the table of buckets is bounded by that number and broadcast.
+Entities of the same documents are one, and terms of a single document need no pairs. What is left is paired within a document.
 
 Defined cases: a null or empty text has no spans; a null doc_id is a value like another; rows with one doc_id share the set of terms to
 look for; repeated rows count as documents of their own; no rows or no entity give no term. Extra columns are ignored.
@@ -38,7 +38,6 @@ PATTERNS = {
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = r"\p{L}{3,}"
-WINDOW = 64
 ALPHA = 0.95
 BUCKETS = 1 << 20
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -82,65 +81,72 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _terms_beside(kind: str, gaps: Column) -> Callable[[Column, Column], Column]:
-    """For match ``m`` number ``i`` of a kind: its entity with each term beside it."""
-    none = F.array().cast("array<string>")
+def _entity(kind: str, m: Column) -> Column:
+    value = {"email": F.lower(m), "ip": m}.get(kind, F.regexp_replace(m, "[^0-9]", ""))
+    return F.concat(F.lit(f"{kind}:"), value)
 
-    def words(m: Column, i: Column) -> Column:
-        left, right = F.get(gaps, i), F.get(gaps, i + 1)
-        left = F.when(F.length(left) > WINDOW, F.regexp_replace(F.right(left, F.lit(WINDOW)), r"^\S+", "")).otherwise(left)
-        right = F.when(F.length(right) > WINDOW, F.regexp_replace(F.left(right, F.lit(WINDOW)), r"\S+$", "")).otherwise(right)
-        terms = F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(WORD), F.lit(0))
-        value = {"email": F.lower(m), "ip": m}.get(kind, F.regexp_replace(m, "[^0-9]", ""))
-        entity = F.concat(F.lit(f"{kind}:"), value, F.lit("\n"))
-        # The entity itself is listed with an empty term, for its document count; a term with an empty entity, for the documents
-        # that have it next to any entity.
-        pairs = F.transform(F.array_append(terms, F.lit("")), lambda t: F.concat(entity, t))
-        return F.when(_valid(kind, m), F.concat(pairs, F.transform(terms, lambda t: F.concat(F.lit("\n"), t)))).otherwise(none)
 
-    return words
-
-
-def _near(text: Column) -> Column:
-    """Entity and term, joined by a line feed, for each term near a base match; distinct within the text."""
+def _entities(text: Column) -> Column:
+    """The distinct values of base matches, each after its kind."""
     parts = []
     for kind, trigger in zip(KINDS[:4], ("@", ".", None, "+")):
-        found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-        pairs = F.flatten(F.transform(found, _terms_beside(kind, F.split(text, PATTERNS[kind], -1))))
-        parts.append(F.when(F.contains(text, F.lit(trigger)), pairs).otherwise(F.array().cast("array<string>")) if trigger else pairs)
+        found = F.filter(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), functools.partial(_valid, kind))
+        values = F.transform(found, functools.partial(_entity, kind))
+        parts.append(F.when(F.contains(text, F.lit(trigger)), values).otherwise(F.array().cast("array<string>")) if trigger else values)
     return F.array_distinct(F.concat(*parts))
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
 def _bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS))
 
 
+def _in_buckets(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``words`` whose bucket holds one of ``terms``."""
+    buckets = F.broadcast(terms.select(_bucket().alias("bucket")).distinct())  # at most BUCKETS rows
+    return words.withColumn("bucket", _bucket()).join(buckets, "bucket", "left_semi").drop("bucket")
+
+
 def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term: words of every text whose bucket holds one of ``terms``, once a row."""
-    buckets = F.broadcast(terms.select(_bucket().alias("bucket")).distinct())  # at most BUCKETS rows
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    return words.withColumn("bucket", _bucket()).join(buckets, "bucket", "left_semi").select("doc_id", "term")
+    return _in_buckets(texts.select("doc_id", F.explode(_words(F.col("text"))).alias("term")), terms).select("doc_id", "term")
 
 
 def disclosing_terms(texts: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """term, certain: the terms to sanitise; certain if every document with the term has it next to one entity."""
-    pairs = texts.select(F.explode(_near(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    pairs = materialize(pairs.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "near-entities")
-    entities = materialize(pairs.where("entity <> '' and term = ''").select("entity", F.col("n").alias("n_entity")), "entities")
-    beside = materialize(pairs.where("entity = '' and term <> ''").select("term", F.col("n").alias("n_beside")), "beside-any")
-    near = pairs.where("entity <> '' and term <> ''")
+    """term, certain: the terms to sanitise; certain if every document with the term holds one entity."""
     total = texts.count()
-    ic = F.log2(total / F.col("n_entity"))
-
-    def discloses(n_term: str) -> Column:
-        return (ic > 0) & (F.log2(F.col("n") / F.col(n_term) * total / F.col("n_entity")) >= alpha * ic)
 
-    # A term is in n_beside documents at least, so what fails with that count fails with the true one, which is counted for the rest.
-    known = materialize(near.join(entities, "entity").select("term", "n", "n_entity"), "near-known").join(beside, "term")
-    known = materialize(known.where(discloses("n_beside")).select("term", "n", "n_entity"), "near-likely")
-    counts = materialize(_occurrences(texts, known).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
-    likely = known.join(counts, "term")
-    return materialize(likely.where(discloses("n_term")).groupBy("term").agg(F.max(F.col("n") >= F.col("n_term")).alias("certain")), "disclosing")
+    def discloses(n: str | Column, n_term: str, n_entity: str | Column) -> Column:
+        n, n_entity = (F.col(c) if isinstance(c, str) else c for c in (n, n_entity))
+        ic = F.log2(total / n_entity)
+        return (ic > 0) & (F.log2(n / F.col(n_term) * total / n_entity) >= alpha * ic)
+
+    private = texts.select(F.xxhash64("text").alias("h"), _entities(F.col("text")).alias("entities"), _words(F.col("text")).alias("terms")).where(F.size("entities") > 0)
+    private = materialize(private, "private")
+    held = materialize(private.select("h", F.explode("entities").alias("entity")).groupBy("h", "entity").agg(F.count("*").alias("w")), "entities")
+    # Entities of the same documents disclose the same terms: from here on they are one, named by a hash of those documents.
+    same = F.xxhash64(F.sum("w"), F.count("*"), F.bit_xor(F.xxhash64(F.lit(7), "h")), F.sum(F.xxhash64(F.lit(11), "h").cast("decimal(38,0)")))
+    counted = materialize(held.groupBy("entity").agg(F.sum("w").alias("n_entity"), same.alias("e")).where(F.col("n_entity") < total), "entity-counts")
+    sets = materialize(held.join(counted, "entity").select("h", "e", "n_entity").distinct(), "entity-sets")
+    # With n_beside documents that hold the term and an entity, and at most ``most`` with any one entity, the ratio is greatest for an
+    # entity in min(n_beside, most) documents, all with the term. What fails with that can't disclose; n_beside also bounds n_term.
+    best = F.least("n_beside", "most")
+    words = private.join(sets.groupBy("h").agg(F.max("n_entity").alias("most")), "h").select("most", F.explode("terms").alias("term"))
+    beside = words.groupBy("term").agg(F.count("*").alias("n_beside"), F.max("most").alias("most"))
+    beside = materialize(beside.where(discloses(best, "n_beside", best)), "beside-any")
+    counts = materialize(_occurrences(texts, beside).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
+    known = materialize(beside.join(counts, "term").where(discloses(best, "n_term", best)).select("term", "n_beside", "n_term"), "known")
+    # A term of one document is disclosed by any entity of it, so it needs no pairs.
+    single = known.where("n_term = 1").select("term", F.lit(True).alias("certain"))
+    several = known.where("n_term > 1")
+    rows = _in_buckets(private.select("h", F.explode("terms").alias("term")), several).groupBy("h", "term").agg(F.count("*").alias("w"))
+    near = materialize(rows.join(several, "term"), "near")
+    pairs = near.join(sets, "h").where(discloses(F.least("n_beside", "n_entity"), "n_term", "n_entity"))
+    pairs = pairs.groupBy("term", "e", "n_entity", "n_term").agg(F.sum("w").alias("n")).where(discloses("n", "n_term", "n_entity"))
+    return materialize(pairs.groupBy("term").agg(F.max(F.col("n") >= F.col("n_term")).alias("certain")).union(single), "disclosing")
 
 
 def find_spans(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:

@@ -1,6 +1,8 @@
 """What each operator must do in full: cases that a cap, a window or a support rule would lose."""
 
+import math
 import random
+import re
 
 import numpy as np
 
@@ -50,3 +52,24 @@ def test_entities_in_one_or_two_documents(spark):
     rows = letters(["alpha Zorblax bob@x.org beta", "alpha Quimby amy@x.org beta", "gamma Quimby amy@x.org delta"])
     found = disclosure.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["term"], r["certain"]) for r in found if r["term"] not in ("bob", "amy")} == {("zorblax", True), ("quimby", True)}
+
+
+def test_terms_far_from_their_entity(spark):
+    far = "alpha " * 40
+    rows = letters([f"Zorblax {far} 12 34 {far} bob@x.org", f"bob@x.org {far} Zorblax", f"Quimby {far} amy@x.org cid@x.org", f"amy@x.org {far} Quimby Quimby", "quimby alpha"])
+    rows += [rows[-1]] * 2
+    for alpha in (0.95, 0.5):
+        got = {r["term"]: r["certain"] for r in disclosure.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"), alpha).collect()}
+        assert got == brute_terms([t for _, t in rows], alpha) and got["zorblax"] and ("quimby" in got) == (alpha == 0.5)
+
+
+def brute_terms(texts, alpha):
+    sets = [(set(re.findall(r"[a-z]+@[a-z.]+", t.lower())), set(re.findall(r"[a-z]{3,}", t.lower()))) for t in texts]
+    out = {}
+    for c in set().union(*(e for e, _ in sets)):
+        n_c = sum(c in e for e, _ in sets)
+        for t in set().union(*(w for e, w in sets if c in e)):
+            n, n_t = sum(c in e and t in w for e, w in sets), sum(t in w for _, w in sets)
+            if math.log2(n / n_t * len(sets) / n_c) >= alpha * math.log2(len(sets) / n_c):
+                out[t] = out.get(t, False) or n == n_t
+    return out
