@@ -55,8 +55,10 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (before, match): each match with the text between it and the one before."""
-    gaps = F.split(text, pattern, -1)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.get(gaps, i).alias("before"), m.alias("match")))
+    # Zipped, since an expression inside a lambda is evaluated anew for each element; there is one gap more than matches.
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(g.alias("before"), m.alias("match")))
+    return F.filter(both, lambda x: x["match"].isNotNull())
 
 
 def _located(matches: Column, keep: Callable[[Column], Column], kind: int) -> Column:
