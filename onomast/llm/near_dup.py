@@ -237,9 +237,10 @@ def _commonness(rows: DataFrame) -> np.ndarray:
 def _sharing_prefix(torn: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different components that can be at the threshold, by prefixes of the full sets.
 
-    With every set in one order, a pair at the threshold shares a shingle of the first n - ceil(2t/(1+t) n) + 1 of the smaller set
-    and the first m - ceil(t m) + 1 of the larger. This holds for any order; with the common shingles last, what a family shares
-    is in no prefix unless its members are near the threshold.
+    With every set in one order, common shingles last: if the first shared shingle is at place i of n and j of m (from 0), no more
+    than min(n - i, m - j) shingles are shared, and a pair at the threshold shares t/(1+t) (n + m) or more. So the first n - ceil(t n) + 1
+    places of a set are enough, and of those only the places that leave room for a partner of the other's size. This holds for any
+    order; with the common shingles last, what a family shares stands in no such place unless its members are near the threshold.
     """
     rows = materialize(torn.join(sets, "v"), "torn-sets")
     sent = rows.sparkSession.sparkContext.broadcast(_commonness(rows))
@@ -247,26 +248,27 @@ def _sharing_prefix(torn: DataFrame, sets: DataFrame) -> DataFrame:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = sent.value
         for b in batches:
-            cut, inner, n = [], [], []
+            cut, place, n = [], [], []
             for raw in b["shingles"]:
                 s = np.frombuffer(raw, np.uint64)
                 n.append(len(s))
                 cut.append(s[np.lexsort((s, common[_slot(s)]))][: n[-1] + (-PERCENT * n[-1]) // 100 + 1])
-                inner.append(np.arange(len(cut[-1])) < n[-1] + (-2 * PERCENT * n[-1]) // (100 + PERCENT) + 1)
+                place.append(np.arange(len(cut[-1])))
             if n:
                 rest = b[["v", "home"]].assign(n=n).loc[b.index.repeat([len(c) for c in cut])]
-                yield rest.assign(g=np.concatenate(cut).view(np.int64), inner=np.concatenate(inner))[["g", "v", "home", "n", "inner"]]
+                yield rest.assign(g=np.concatenate(cut).view(np.int64), place=np.concatenate(place))[["g", "v", "home", "n", "place"]]
 
-    shared = materialize(rows.mapInPandas(prefixes, "g long, v long, home long, n int, inner boolean"), "prefixes")
+    shared = materialize(rows.mapInPandas(prefixes, "g long, v long, home long, n int, place int"), "prefixes")
     # Of two components at a shingle, one at least is not the one with most vertices there: only its vertices are held against all.
     sizes = shared.groupBy("g", "home").agg(F.count("*").alias("k"))
     most = materialize(sizes.groupBy("g").agg(F.max_by("home", F.struct("k", "home")).alias("most"), F.count("*").alias("homes")).where("homes > 1").select("g", "most"), "mixed-shingles")
     mixed = materialize(shared.join(most, "g"), "mixed")
-    left = mixed.where("home <> most").select("g", F.struct("v", "home", "n", "inner").alias("l"))
-    right = mixed.select("g", F.struct("v", "home", "n", "inner").alias("r"))
+    left = mixed.where("home <> most").select("g", F.struct("v", "home", "n", "place").alias("l"))
+    right = mixed.select("g", F.struct("v", "home", "n", "place").alias("r"))
     sizes_fit = 100 * F.least("l.n", "r.n").cast("long") >= PERCENT * F.greatest("l.n", "r.n").cast("long")
-    smaller = (F.col("l.inner") & (F.col("l.n") <= F.col("r.n"))) | (F.col("r.inner") & (F.col("r.n") <= F.col("l.n")))
-    met = left.join(right, "g").where((F.col("l.home") != F.col("r.home")) & sizes_fit & smaller)
+    room = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")).cast("long")
+    enough = (100 + PERCENT) * room >= PERCENT * (F.col("l.n") + F.col("r.n")).cast("long")
+    met = left.join(right, "g").where((F.col("l.home") != F.col("r.home")) & sizes_fit & enough)
     return materialize(met.select(F.greatest("l.v", "r.v").alias("a"), F.least("l.v", "r.v").alias("b")).distinct(), "prefix-pairs")
 
 
