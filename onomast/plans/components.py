@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is a groupBy (combined on the map side) and an equi-join against a written table, so a vertex
-with very many neighbours is dealt out by the adaptive skew join. Nothing is collected to the driver but one
-checksum row a round.
+Every step is a groupBy (combined on the map side) and an equi-join against a written table, so a vertex with very many neighbours
+is dealt out by the adaptive skew join. Nothing is collected to the driver. A round begins with the least neighbour of each vertex, and
+the same rows tell whether the edges are stars already, so the last round costs one table. Tables go when the next step is written.
 """
 
 from __future__ import annotations
@@ -10,42 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.plans.shared import materialize
+from onomast.plans.shared import materialize, release
 
 
-def _large_star(edges: DataFrame, name: str) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-ls")
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _neighbours(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _small_star(edges: DataFrame, name: str) -> DataFrame:
-    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), f"{name}-ss")
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    """``a, m, open``: the least vertex of each neighbourhood; open where it is neither the centre nor a leaf of a star."""
+    smaller = F.when(F.col("b") < F.col("a"), F.col("b"))
+    each = _neighbours(edges).groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.max(smaller).alias("below"))
+    is_open = (F.col("lo") < F.col("a")) & ((F.col("hi") > F.col("a")) | (F.col("lo") != F.col("below")))
+    return each.select("a", F.least("a", "lo").alias("m"), is_open.alias("open"))
+
 
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _neighbours(edges).where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
     """``(a, b)`` links -> ``(id, component)`` for each vertex of a link, component = its least reachable vertex.
 
-    Self links and nulls are ignored; a vertex without a link has no row. An empty table gives an empty table.
+    Self links and nulls are ignored, repeated links are one; a vertex without a link has no row. An empty table gives an empty table.
     """
-    oriented = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current = materialize(oriented, name)
-    last = _checksum(current)
-    if last[0]:
-        for _ in range(max_rounds):
-            current = materialize(_small_star(materialize(_large_star(current, name), name), name), name)
-            now = _checksum(current)
-            if now == last:
-                break
-            last = now
-        else:
-            raise RuntimeError("components did not settle")
-    roots = current.select("b").distinct()
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
+    current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), name)
+    for _ in range(max_rounds):
+        least = materialize(_least(current), f"{name}-least")
+        settled = least.where("open").isEmpty()
+        if not settled:
+            large = materialize(_large_star(current, least.drop("open")), f"{name}-large")
+            release(current, least)
+            least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
+            current = materialize(_small_star(large, least), f"{name}-small")
+            release(large)
+        release(least)
+        if settled:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    ends = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = materialize(ends.union(current.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), name)
+    release(current)
+    return out
