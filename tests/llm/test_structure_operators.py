@@ -140,16 +140,16 @@ def test_shards(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i % 900 if i % 50 else None, None if i % 97 == 0 else "t" * rng.randrange(0, 3000), "s", "mine") for i in range(1000)] + [(5, "big " * 20000, "s", "mine")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, shard_id string").repartition(5)
-    store, live = shard_store.shard(frame, f"file://{tmp_path}/store")
-    assert store.version() == 1
+    target = 20_000
+    store, live = shard_store.shard(frame, f"file://{tmp_path}/store", target)
+    assert store.versions() == [2]
     assert sorted(map(str, live.select(frame.columns).collect())) == sorted(map(str, frame.collect()))
     manifest = store.manifest().collect()
     assert sum(r["n_rows"] for r in manifest) == len(rows)
-    target = -(-sum(r["n_bytes"] for r in manifest) // shard_store.MIN_SHARDS)
-    assert sorted(r["n_bytes"] for r in manifest)[-2] <= 3 * target and {c.lower() for c in live.columns} >= {"shard_id", "shard_id_"}
-    with pytest.raises(Exception):
-        store.commit(store.manifest(), 1)
-    store.commit(store.manifest(), 2)
-    assert store.version() == 2 and store.manifest(1).count() == store.manifest().count()
+    assert sorted(r["n_bytes"] for r in manifest)[-2] <= 2 * target and {c.lower() for c in live.columns} >= {"shard_id", "shard_id_"}
+    with pytest.raises(FileExistsError):
+        store.commit(store.manifest(), 2)
+    store.commit(store.manifest(), 3)
+    assert store.version() == 3 and store.manifest(2).count() == store.manifest().count()
     _, none = shard_store.shard(frame.limit(0))
-    assert none.count() == 0
+    assert none.count() == 0 and none.columns == live.columns
