@@ -10,9 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from onomast import __version__
-from onomast.operators import artifact, canonical, cluster, model, qc
-from onomast.operators import profile as prof
-from onomast.operators.propose import METHODS, apply_mapping, propose_csv
+from onomast.operators import artifact, cluster, model, qc
+from onomast.operators.propose import METHODS, apply_mapping, names_table, propose_csv
 from onomast.sources import strict_csv
 
 
@@ -31,9 +30,13 @@ def _session() -> SparkSession:
 
 
 def _proposer(a: argparse.Namespace) -> model.Proposer | None:
+    """The model's side of a method, after a notice of what goes where."""
     if a.method in cluster.OFFLINE:
         return None
-    print(f"Method {a.method}: names may be sent to {a.provider}.", file=sys.stderr)
+    what = "every distinct name" if a.method == "llm" else "one spelling of each group, unless the names look consistent,"
+    url = model.resolve_url(a.provider, a.base_url)
+    if not model.is_local(url):
+        print(f"Method {a.method}: {what} goes to {model.resolve_model(a.provider, a.model)} at {url}, which is not this machine.", file=sys.stderr)
     return model.http_proposer(a.provider, a.model, a.base_url, timeout=a.timeout)
 
 
@@ -44,15 +47,37 @@ def _propose(a: argparse.Namespace) -> None:
     if not out.parent.is_dir() or out.is_dir():
         raise ValueError(f"{out} can't be written")
     mapping = propose_csv(_session(), a.file, a.column, a.encoding, method=a.method, threshold=a.threshold, proposer=_proposer(a))
-    mapping.model, mapping.provider = (a.model or model.DEFAULT_MODELS[a.provider], a.provider) if a.method not in cluster.OFFLINE else (None, None)
+    if mapping.method not in cluster.OFFLINE:
+        mapping.model, mapping.provider, mapping.base_url = model.resolve_model(a.provider, a.model), a.provider, model.resolve_url(a.provider, a.base_url)
     if a.yes:
         mapping.accept_all()
     artifact.write(mapping, out)
+    if a.plot:
+        _write_panels(mapping, a.plot, a.title)
     print(json.dumps(mapping.summary()))
     for left, right in mapping.near_misses[:20]:
         print(f"near miss: {left} | {right}")
 
 
+def _ask(mapping: artifact.Mapping, g: artifact.Group) -> bool:
+    """Put one group to the person until the answer is one; whether to go on."""
+    while True:
+        match input(f"{g.id}: {', '.join(g.members)} -> {g.proposed} [a/r/e/A/q] ").strip():
+            case "q":
+                return False
+            case "A":
+                mapping.accept_all()
+                return False
+            case "a" | "r" as answer:
+                mapping.decide([(g.id, {"a": "accept", "r": "reject"}[answer], None)])
+                return True
+            case "e":
+                while not (name := input("new name: ")).strip():
+                    print("A name needs a character that can be seen.")
+                mapping.decide([(g.id, "edit", name)])
+                return True
+
+
 def _review(a: argparse.Namespace) -> None:
     if not sys.stdin.isatty() and not a.decisions:
         raise ValueError("review needs a terminal, or --decisions")
@@ -61,16 +86,8 @@ def _review(a: argparse.Namespace) -> None:
         mapping.decide([(int(d["id"]), d["decision"], d.get("new_name")) for d in json.loads(Path(a.decisions).read_text())])
     else:
         for g in mapping.review_order():
-            if g.status != "proposed":
-                continue
-            answer = input(f"{g.id}: {', '.join(g.members)} -> {g.proposed} [a/r/e/A/q] ").strip()
-            if answer == "q":
-                break
-            if answer == "A":
-                mapping.accept_all()
+            if g.status == "proposed" and not _ask(mapping, g):
                 break
-            name = input("new name: ") if answer == "e" else None
-            mapping.decide([(g.id, {"a": "accept", "r": "reject", "e": "edit"}.get(answer, answer), name)])
         mapping.mark_reviewed()
     artifact.write(mapping, a.mapping)
 
@@ -83,20 +100,24 @@ def _apply(a: argparse.Namespace) -> None:
 
 def _names(a: argparse.Namespace) -> None:
     names = strict_csv.read_names(a.names, a.file)
-    frame = _session().createDataFrame([(n,) for n in names], "name string")
-    grouped = cluster.group_names(frame, a.method, a.threshold)
-    once = frame.distinct().selectExpr("name", "cast(1 as bigint) as occurrences")
-    table = canonical.group_table(grouped, once, canonical.elect(grouped, once), a.method)
-    rows = [{"canonical": r["proposed"], "members": r["members"]} for r in table.orderBy("id").collect()]
+    once = _session().createDataFrame([(n, 1) for n in dict.fromkeys(names)], "name string, occurrences long")
+    rows = names_table(once, a.method, a.threshold, _proposer(a)) if names else []
     print(json.dumps(rows, ensure_ascii=False, indent=2) if a.json else "\n".join(f"{r['canonical']}: {', '.join(r['members'])}" for r in rows))
 
 
-def _plot(a: argparse.Namespace) -> None:
-    mapping, spark = artifact.read(a.mapping), _session()
+def _write_panels(mapping: artifact.Mapping, path: str, title: str | None) -> None:
+    spark = _session()
     groups = artifact.groups_frame(spark, mapping)
     near = spark.createDataFrame([tuple(p) for p in mapping.near_misses], "left string, right string")
     panels = {"matrix": qc.similarity_matrix(groups), "sizes": qc.group_sizes(groups), "counts": qc.before_after(groups, near), "flags": qc.flags(groups, near)}
-    Path(a.output).write_text(json.dumps({k: [r.asDict() for r in v.collect()] for k, v in panels.items()}, ensure_ascii=False, indent=2))
+    shown = {k: [r.asDict() for r in v.collect()] for k, v in panels.items()}
+    shown["colour_floor"] = qc.colour_floor(panels["matrix"])
+    with artifact.replacing(path) as beside:
+        beside.write_text(json.dumps({"title": title or mapping.column or ""} | shown, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+
+
+def _plot(a: argparse.Namespace) -> None:
+    _write_panels(artifact.read(a.mapping), a.output, a.title)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -115,6 +136,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output")
     p.add_argument("-M", "--method", default="auto", choices=METHODS)
     p.add_argument("--yes", action="store_true")
+    p.add_argument("--plot", help="also write the data of the panels to this JSON file")
+    p.add_argument("--title")
     p.add_argument("--encoding", default=artifact.DEFAULT_ENCODING)
     p.set_defaults(run=_propose)
     r = sub.add_parser("review")
@@ -131,12 +154,13 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("names", parents=[model_options])
     n.add_argument("names", nargs="*")
     n.add_argument("-f", "--file")
-    n.add_argument("-M", "--method", default="damerau", choices=cluster.OFFLINE)
+    n.add_argument("-M", "--method", default="damerau", choices=METHODS)
     n.add_argument("--json", action="store_true")
     n.set_defaults(run=_names)
     q = sub.add_parser("plot")
     q.add_argument("mapping")
     q.add_argument("-o", "--output", required=True)
+    q.add_argument("--title")
     q.set_defaults(run=_plot)
     return top
 

@@ -23,11 +23,11 @@ def elect(grouped: DataFrame, counts: DataFrame, corpus: DataFrame | None = None
     rows = grouped.select("name", "group", F.when(F.col("norm") != "", F.col("norm")).otherwise(F.col("name")).alias("form")).join(counts, "name", "left")
     forms = rows.groupBy("group", "form").agg(F.sum(F.greatest(F.coalesce("occurrences", F.lit(1)), F.lit(1))).alias("weight"))
     forms = materialize(forms, "forms")
-    several = materialize(forms.groupBy("group").agg(F.count("*").alias("n")), "form-counts")
-    one = forms.join(several.where("n = 1"), "group").select("group", F.col("form").alias("proposed"))
-    many = forms.join(several.where("n > 1"), "group").select("group", "form", "weight")
+    by_group = forms.groupBy("group").agg(F.count("*").alias("n"), F.min("form").alias("proposed"))
+    one = by_group.where("n = 1").select("group", "proposed")
+    many = materialize(forms.join(by_group.where("n > 1").select("group"), "group"), "forms-to-choose-from")
     other = many.select("group", F.col("form").alias("other"), F.col("weight").alias("other_weight"))
-    costs = many.join(other, "group").withColumn("cost", F.col("other_weight") * D.osa()(F.col("form"), F.col("other")))
+    costs = many.join(other, "group").where("form <> other").withColumn("cost", F.col("other_weight") * D.osa()(F.col("form"), F.col("other")))
     costs = costs.groupBy("group", "form", "weight").agg(F.sum("cost").alias("cost")).withColumn("skeleton", N.skeleton(F.col("form")))
     if corpus is not None:
         costs = costs.join(corpus.withColumnRenamed("weight", "agreement"), "skeleton", "left")

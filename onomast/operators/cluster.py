@@ -45,10 +45,7 @@ def _candidates(vertices: DataFrame) -> DataFrame:
     forms = F.array_distinct(F.array(F.col("skeleton"), letters))
     variants = F.array_distinct(F.flatten(F.transform(forms, lambda s: F.concat(F.array(s), N.deletions(s)))))
     rows = vertices.where("norm <> ''").select("vertex", F.explode(F.concat(F.transform(variants, lambda v: F.xxhash64(block, v)), F.array(F.xxhash64(block, F.lit("norm"), "norm")))).alias("key"))
-    rows = materialize(rows.distinct(), "variants")
-    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-variants")
-    some = materialize(rows.join(shared, "key"), "variant-rows")
-    left, right = some.select("key", F.col("vertex").alias("a")), some.select("key", F.col("vertex").alias("b"))
+    left, right = rows.select("key", F.col("vertex").alias("a")), rows.select("key", F.col("vertex").alias("b"))
     return left.join(right, "key").where("a > b").select("a", "b").distinct()
 
 

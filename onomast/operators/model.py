@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from typing import Any
@@ -25,6 +26,7 @@ Proposer = Callable[[list[str]], dict]
 DEFAULT_MODELS = {"openrouter": "openai/gpt-4o-mini", "ollama": "qwen3.5:9b"}
 DEFAULT_URLS = {"openrouter": "https://openrouter.ai/api/v1", "ollama": "http://localhost:11434"}
 LOCAL_TIMEOUT = 300
+REMOTE_TIMEOUT = 60
 
 
 def check_answer(answer: Any, names: list[str]) -> dict:
@@ -50,31 +52,79 @@ def rules_text() -> str:
     ))
 
 
+def resolve_model(provider: str, model: str | None = None) -> str:
+    """The model asked for, else the one that the environment names, else the provider's default."""
+    return model or os.environ.get(f"{provider.upper()}_MODEL") or DEFAULT_MODELS[provider]
+
+
+def resolve_url(provider: str, base_url: str | None = None) -> str:
+    """The server asked for, else for ollama the one of OLLAMA_HOST (a scheme may be absent), else the provider's default."""
+    host = os.environ.get("OLLAMA_HOST", "").strip() if provider == "ollama" else ""
+    if host and "://" not in host:
+        host = f"http://{host}"
+    return (base_url or host or DEFAULT_URLS[provider]).rstrip("/")
+
+
+def is_local(url: str) -> bool:
+    """Whether a server is on this machine."""
+    host = urllib.parse.urlsplit(url).hostname or ""
+    return host in ("localhost", "::1") or host.startswith("127.")
+
+
+def _post(url: str, body: dict, timeout: float, headers: dict | None = None) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | (headers or {}))
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            return json.load(reply)
+    except (OSError, ValueError) as e:
+        raise ValueError(f"{url} gave no usable answer ({e}); the methods rules and damerau need no server") from e
+
+
+def _can_think(url: str, model: str, timeout: float) -> bool:
+    try:
+        return "thinking" in (_post(f"{url}/api/show", {"model": model}, timeout).get("capabilities") or ())
+    except ValueError:
+        return False
+
+
 def http_proposer(provider: str = "openrouter", model: str | None = None, base_url: str | None = None, api_key: str | None = None, timeout: float | None = None) -> Proposer:
-    """A proposer over an OpenAI-style or ollama chat endpoint. Names leave this machine when it is called."""
+    """A proposer over an OpenAI-style or ollama chat endpoint. Names leave this process when it is called.
+
+    A local model that can think is told not to, which takes minutes on a CPU; the field isn't valid for others."""
     if provider not in DEFAULT_MODELS:
         raise ValueError(f"unknown provider {provider!r}; one of {sorted(DEFAULT_MODELS)}")
-    chosen, url = model or DEFAULT_MODELS[provider], (base_url or DEFAULT_URLS[provider]).rstrip("/")
+    chosen, url = resolve_model(provider, model), resolve_url(provider, base_url)
     key = api_key or os.environ.get("OPENROUTER_API_KEY")
-    if provider == "openrouter" and not key:
-        raise ValueError("an API key is needed")
 
     def propose(names: list[str]) -> dict:
+        if provider == "openrouter" and not key:  # a method may find that it needs no model
+            raise ValueError("no API key: set OPENROUTER_API_KEY, or use the method rules or damerau")
         messages = [{"role": "system", "content": rules_text()}, {"role": "user", "content": json.dumps(names, ensure_ascii=False)}]
         if provider == "ollama":
-            path, body, headers = "/api/chat", {"model": chosen, "messages": messages, "format": "json", "stream": False, "options": {"temperature": 0}}, {}
+            wait = timeout or LOCAL_TIMEOUT
+            body = {"model": chosen, "messages": messages, "format": "json", "stream": False, "options": {"temperature": 0}}
+            raw = _post(f"{url}/api/chat", body | ({"think": False} if _can_think(url, chosen, wait) else {}), wait)
         else:
-            path, body = "/chat/completions", {"model": chosen, "messages": messages, "temperature": 0, "response_format": {"type": "json_object"}}
-            headers = {"Authorization": f"Bearer {key}"}
-        request = urllib.request.Request(url + path, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
-        with urllib.request.urlopen(request, timeout=timeout or (LOCAL_TIMEOUT if provider == "ollama" else 60)) as reply:
-            raw = json.load(reply)
-        content = raw["message"]["content"] if provider == "ollama" else raw["choices"][0]["message"]["content"]
-        return check_answer(json.loads(content), names)
+            body = {"model": chosen, "messages": messages, "temperature": 0, "response_format": {"type": "json_object"}}
+            raw = _post(f"{url}/chat/completions", body, timeout or REMOTE_TIMEOUT, {"Authorization": f"Bearer {key}"})
+        try:
+            content = (raw if provider == "ollama" else raw["choices"][0])["message"]["content"]
+            answer = json.loads(content)
+        except (KeyError, IndexError, TypeError, ValueError) as e:
+            raise ValueError(f"{url} answered without a JSON message") from e
+        return check_answer(answer, names)
 
     return propose
 
 
+def harmonize(names: list[str], proposer: Proposer | None = None, **options) -> dict:
+    """The pattern and the names that a model proposes for distinct names, without any guard; asks over HTTP unless given a proposer."""
+    distinct = list(dict.fromkeys(names))
+    if not distinct:
+        return {"canonical_pattern": "", "mapping": {}}
+    return check_answer((proposer or http_proposer(**options))(distinct), distinct)
+
+
 def guard(names: DataFrame, answer: DataFrame, representative: DataFrame | None = None) -> DataFrame:
     """Groups from a model's answer, split until each has one identity.
 

@@ -34,27 +34,23 @@ def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 64, written: bool = False) -> DataFrame:
     """``(a, b)`` links -> ``(id, component)`` for each vertex of a link, component = its least reachable vertex.
 
     Self links and nulls are ignored, repeated links are one; a vertex without a link has no row. An empty table gives an empty table.
-    """
-    current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), name)
+    ``written``: the links are cheap to read again, so they are not written once more."""
+    current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    current = current if written else materialize(current, name)
+    own = [] if written else [current]
     for _ in range(max_rounds):
         least = materialize(_least(current), f"{name}-least")
-        settled = least.where("open").isEmpty()
-        if not settled:
-            large = materialize(_large_star(current, least.drop("open")), f"{name}-large")
-            release(current, least)
-            least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
-            current = materialize(_small_star(large, least), f"{name}-small")
-            release(large)
-        release(least)
-        if settled:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    ends = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    out = materialize(ends.union(current.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), name)
-    release(current)
-    return out
+        if least.where("open").isEmpty():
+            release(*own)
+            return least.select(F.col("a").alias("id"), F.col("m").alias("component"))
+        large = materialize(_large_star(current, least.drop("open")), f"{name}-large")
+        release(least, *own)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
+        current = materialize(_small_star(large, least), f"{name}-small")
+        release(large, least)
+        own = [current]
+    raise RuntimeError("components did not settle")
