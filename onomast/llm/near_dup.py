@@ -7,9 +7,10 @@
    vertices as candidates; the vertices of a larger node descend to the next length, and also meet the node's least vertex.
    Vertices that share even the longest prefix in a node above ``REGION`` are dealt into cells of about that size, and each also
    meets the node's least vertex. This finds most links of large nodes cheaply; step 4 finds all.
-3. Candidates whose sizes or one-bit sketches rule out the threshold go (more than five standard deviations below it). Each
-   vertex first confirms its least candidate, of its small regions and of the least vertices, on the full sets; candidates that are
-   then in one component need no comparison and are not made in the deeper regions, all others are confirmed too.
+3. Candidates whose sizes or one-bit sketches rule out the threshold go (more than five standard deviations below it). Each vertex
+   first confirms two of them on the full sets, of its small regions and of the least vertices; then all that are still in different
+   components. Deeper regions make only candidates of different components, all of which are confirmed. A task doesn't compare what
+   its earlier pairs have connected, and returns a forest.
 4. Vertices of a large first node that still holds more than one component are joined on the prefixes of their full sets in an
    order from rare to common shingles, whatever became of them at greater depth. Every pair at the threshold shares a prefix
    shingle, so no cap is left without an exact way. Pairs of different components are confirmed.
@@ -33,11 +34,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from onomast.llm import textbuf as tb
+from onomast.llm.columns import type_of
 from onomast.plans.components import connected_components
-from onomast.plans.shared import materialize
+from onomast.plans.shared import materialize, release, scratch
 
 SHINGLE = 5
 PERCENT = 75
@@ -84,6 +85,11 @@ def set_key(shingles: np.ndarray) -> int:
     return int((np.bitwise_xor.reduce(tb.mix(shingles + _STEP)) ^ np.uint64(len(shingles))).astype(np.int64))
 
 
+def set_check(shingles: np.ndarray) -> int:
+    """A second key of a set, which tells sets of one :func:`set_key` apart."""
+    return int(tb.mix(shingles ^ _STEP).sum(dtype=np.uint64).astype(np.int64))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """128 minima, 16 bits each."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
@@ -102,6 +108,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "text_hash": b["text_hash"],
                 "n": [len(s) for s in sets],
                 "vertex": pd.array([set_key(s) if len(s) else None for s in sets], "Int64"),
+                "check": [set_check(s) for s in sets],
                 "sig": [signature(s).tobytes() if len(s) else None for s in sets],
             }
         )
@@ -180,20 +187,44 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(left, right):
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pd.Series(out, dtype=bool)
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a task's pairs that join two of its trees. Pairs of one tree are linked through others and aren't compared."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = v = root[up]
+        return v
+
+    for batch in batches:
+        out = []
+        for a, b, left, right in zip(batch["a"].tolist(), batch["b"].tolist(), batch["left"], batch["right"]):
+            if (ra := find(a)) == (rb := find(b)):
+                continue
+            x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                root[ra] = rb
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Links by the full sets that connect whatever the pairs at the threshold connect."""
     one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("left")), "a")
     two = one.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("right")), "b")
-    return materialize(two.where(_linked("left", "right")).select("a", "b"), name)
+    return materialize(two.select("a", "b", "left", "right").mapInPandas(_joined, "a long, b long"), name)
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Of the pairs, those of each vertex with its least partner below it and its greatest above it."""
+    return pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")).distinct()
+
+
+def _grown(components: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components of earlier ones and of all pairs at the threshold."""
+    known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return connected_components(known.union(_confirm(_apart(pairs, components), sets, "links")), "near", written=True)
 
 
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -272,61 +303,71 @@ def _sharing_prefix(torn: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(met.select(F.greatest("l.v", "r.v").alias("a"), F.least("l.v", "r.v").alias("b")).distinct(), "prefix-pairs")
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """A row for each set: its least doc_id, a document to read it from, its size and signature, and its two keys."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep")
+    said = signed.where("vertex is not null").groupBy("vertex")
+    return materialize(said.agg(F.min("doc_id").alias("least"), rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("check").alias("check"), F.max("check").alias("other"), F.first("key").alias("key")), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
-    tb.small_batches(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
-    signed = slim.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sign, "doc_id long, text_hash long, n int, vertex long, sig binary")
-    signed = materialize(signed, "signatures")
-    classes = materialize(signed.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    trees = classes.select("vertex", "n", "sig").mapInPandas(_plant, _TREE_SCHEMA)
-    inside = _nodes(trees, LADDER[0])
-    large = inside.where(F.col("c") > REGION)
-    stars, regions = _descend(large)
-    candidates = materialize(_union([_within(inside.where(F.col("c") <= REGION), f"p{LADDER[0]}"), *stars]).distinct(), "candidates")
-
-    def sets_of(vertices: DataFrame, name: str) -> DataFrame:
-        wanted = vertices.distinct().join(classes.select(F.col("vertex").alias("v"), "rep"), "v").select("v", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
-
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"v": b["v"], "shingles": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
-
-        # Repeated rows and rows without a doc_id can match more than once; equal texts have equal sets, of which one is kept.
-        hashed = slim.withColumn("hash", F.xxhash64("text"))
-        read = hashed.join(wanted, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["hash"] == wanted["hash"])).select("v", "text").mapInPandas(cut, "v long, shingles binary")
-        return materialize(read.where(_key("shingles") == F.col("v")).groupBy("v").agg(F.first("shingles").alias("shingles")), name)
-
-    sets = sets_of(candidates.select(F.col("a").alias("v")).union(candidates.select("b")).union(large.select("v")), "sets")
-    first = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    links = _confirm(first, sets, "links-1")
-    components = connected_components(links, "near-1")
-    home = components.select(F.col("id").alias("v"), F.col("component").alias("home"))
-    at_home = lambda rows: rows.join(home, "v", "left").withColumn("home", F.coalesce("home", "v"))
-    deeper = _union([_within(at_home(rows), *key) for rows, key in regions])
-    links = links.union(_confirm(_apart(candidates, components).union(deeper).distinct(), sets, "links-2"))
-    components = connected_components(links, "near-2")
-    torn = _torn(large, components)
-    if not torn.isEmpty():
-        more = _sharing_prefix(torn, sets)
-        components = connected_components(links.union(_confirm(more, sets, "links-3")), "near-3")
-    # A component's id is its least doc_id, so the least of each class is taken over the component's classes.
-    joined = classes.select("vertex", "least").join(components.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
-    grouped = joined.select("vertex", F.coalesce("component", "vertex").alias("component"), "least")
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_vertex = materialize(grouped.select("vertex", "component").join(materialize(named, "named"), "component").select("vertex", "component_id"), "of-vertex")
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) and group_key (equal in a group, null for a document
+    without shingles) for every document."""
+    with scratch() as keep:
+        tb.small_batches(docs.sparkSession)
+        id_type = type_of(docs, "doc_id")
+        slim = docs.select("doc_id", "text")
+        sent = slim.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        signed = sent.mapInPandas(_sign, "doc_id string, text_hash long, n int, vertex long, check long, sig binary")
+        signed = materialize(signed.withColumns({"doc_id": F.col("doc_id").cast(id_type), "key": F.col("vertex")}), "signatures")
+        classes = _classes(signed)
+        shared = classes.where("check <> other").select("vertex", F.col("check").alias("first"))
+        if not shared.isEmpty():  # sets of one key: all but one get another
+            again = signed.join(shared, "vertex", "left").withColumn("vertex", F.when(F.col("check") != F.col("first"), F.xxhash64("vertex", "check")).otherwise(F.col("vertex")))
+            again = materialize(again.select(signed.columns), "signatures")
+            release(signed, classes)
+            signed = again
+            classes = _classes(signed)
+        trees = classes.select("vertex", "n", "sig").mapInPandas(_plant, _TREE_SCHEMA)
+        inside = _nodes(trees, LADDER[0])
+        large = inside.where(F.col("c") > REGION)
+        stars, regions = _descend(large)
+        candidates = materialize(_union([_within(inside.where(F.col("c") <= REGION), f"p{LADDER[0]}"), *stars]).distinct(), "candidates")
+
+        def sets_of(vertices: DataFrame, name: str) -> DataFrame:
+            wanted = vertices.distinct().join(classes.select(F.col("vertex").alias("v"), "rep", "key", "check"), "v").select("v", "key", "check", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+
+            def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    sets = shingle_sets(b["text"].tolist())
+                    ours = [len(s) > 0 and set_key(s) == k and set_check(s) == c for s, k, c in zip(sets, b["key"], b["check"])]
+                    yield pd.DataFrame({"v": b["v"], "shingles": [s.tobytes() for s in sets]})[np.array(ours, bool)]
+
+            # Repeated rows and rows without a doc_id can match more than once; equal texts have equal sets, of which one is kept.
+            hashed = slim.withColumn("hash", F.xxhash64("text"))
+            read = hashed.join(wanted, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["hash"] == wanted["hash"])).select("v", "key", "check", "text").mapInPandas(cut, "v long, shingles binary")
+            return materialize(read.groupBy("v").agg(F.first("shingles").alias("shingles")), name)
+
+        sets = sets_of(candidates.select(F.col("a").alias("v")).union(candidates.select("b")).union(large.select("v")), "sets")
+        components = connected_components(_confirm(_stars(candidates), sets, "links"), "near", written=True)
+        components = _grown(components, candidates, sets)
+        home = components.select(F.col("id").alias("v"), F.col("component").alias("home"))
+        at_home = lambda rows: rows.join(home, "v", "left").withColumn("home", F.coalesce("home", "v"))
+        deeper = _union([_within(at_home(rows), *key) for rows, key in regions])
+        components = _grown(components, deeper.distinct(), sets)
+        torn = _torn(large, components)
+        if not torn.isEmpty():
+            more = _sharing_prefix(torn, sets)
+            components = _grown(components, more, sets)
+        # A component's id is its least doc_id, so the least of each class is taken over the component's classes.
+        joined = classes.select("vertex", "least").join(components.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
+        grouped = joined.select("vertex", F.coalesce("component", "vertex").alias("component"), "least")
+        named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        of_vertex = materialize(grouped.select("vertex", "component").join(materialize(named, "named"), "component").select("vertex", "component", "component_id"), "of-vertex")
+        keep += [signed, of_vertex]
     out = signed.select("doc_id", "text_hash", "n", "vertex").join(of_vertex, "vertex", "left")
     component = F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
-
-
-@F.pandas_udf(T.LongType())
-def _key(shingles: pd.Series) -> pd.Series:
-    out = []
-    for raw in shingles:
-        s = np.frombuffer(raw, np.uint64)
-        out.append(set_key(s) if len(s) else 0)
-    return pd.Series(out, dtype="int64")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", F.col("component").alias("group_key"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:

@@ -40,7 +40,7 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "group_key")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
