@@ -16,7 +16,8 @@ and many ranges in the merge, as ranges are cut within a URL as well.
 
 Defined cases: null html is an empty payload; payloads under 100 bytes are never revisited; rows with the smallest page_id of
 their payload are responses even if repeated; a null page_id is never referred to, and such rows are responses if their group has
-no other; a null or unparsable URL is indexed under "-"; no pages give an empty index. Extra columns are ignored.
+no other; page_id may be any long (dates depend on it only where no timestamp column is named); a null or unparsable URL is indexed
+under "-"; no pages give an empty index. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.plans.shared import materialize, scratch_path
@@ -37,7 +38,12 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
 RANGE_ROWS = 200_000
 END = "\r\n\r\n"
-EPOCH = "2024-01-01T00:00:00Z"
+DAY = 86_400
+YEAR = 366 * DAY
+EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
+YEARS = (-62_135_596_800, 253_402_300_799)  # the first second of the year 1 and the last of 9999
+#: Runs that one loser tree merges; more are merged in passes.
+FAN_IN = 256
 INDEX = "url_key string, ts string, page_id long, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -70,10 +76,21 @@ def decide(pages: DataFrame) -> tuple[DataFrame, int]:
     return later.select("page_id", "digest", "refers_to").distinct(), total
 
 
+def capture_date(ts: str | None) -> Column:
+    """The capture time in UTC, whatever the session's zone: of a timestamp column, where it is in the years 1 to 9999, else a second
+    of the year 2024 by page_id, of any size and sign."""
+    by_id = F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)).cast("long"), F.lit(YEAR))
+    seconds = by_id if ts is None else F.coalesce(F.unix_seconds(F.to_timestamp(ts)), by_id)
+    seconds = F.when(seconds.between(*YEARS), seconds).otherwise(by_id)
+    day, second = F.floor(seconds / DAY), F.pmod(seconds, F.lit(DAY))
+    two = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(second / 3600), two(F.pmod(second / 60, F.lit(60))), two(F.pmod(second, F.lit(60))))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string"), F.lit("T"), clock, F.lit("Z"))
+
+
 def write_archives(pages: DataFrame, path: str, ts: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write ``page_id, url, html`` (and a timestamp column, if named) as WARC files under ``path``."""
-    when = F.coalesce(F.to_timestamp(ts), F.lit(EPOCH).cast("timestamp")) if ts else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce("page_id", F.lit(0)))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), capture_date(ts).alias("ts"))
     later, total = decide(rows)
     n = max(1, -(-total // archive_bytes))
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
@@ -123,11 +140,22 @@ def records(archive: memoryview) -> Iterator[tuple[int, int, dict[str, str], mem
         at = end + 4
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+COLUMNS = tuple(c.split()[0] for c in INDEX.split(", "))
+RUN = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in f"{INDEX}, place long".split(", ")])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as an Arrow batch, in which a null leaves the ids beside it as they are."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted run of captures for each archive, with each capture's place in it."""
     for b in batches:
-        for path, content in zip(b["path"], b["content"]):
+        for path, content in zip(b.column("path").to_pylist(), b.column("content")):
             rows = []
-            for offset, length, f, block in records(memoryview(gzip.decompress(content))):
+            for offset, length, f, block in records(memoryview(gzip.decompress(content.as_buffer()))):
                 payload = bytes(block)[bytes(block[:512]).find(b"\r\n\r\n") + 4 :]
                 kind = f["WARC-Type"]
                 digest = hashlib.sha256(payload).hexdigest() if kind == "response" else f["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -137,8 +165,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = len(payload) if kind == "response" else int(f["X-Payload-Length"])
                 rows.append((url_key(f.get("WARC-Target-URI")), f["WARC-Date"], None if page is None else int(page), path.rsplit("/", 1)[-1], offset, length, size, digest, kind, None if refers is None else int(refers)))
             rows.sort(key=order_key)
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _rows([(*row, place) for place, row in enumerate(rows)], RUN)
 
 
 def order_key(row: tuple) -> tuple:
@@ -188,38 +215,40 @@ class LoserTree:
             self._replay(i)
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in INDEX.split(", ")]
-    slices: dict[str, list[tuple]] = {}
+def merge_runs(runs: list[list[tuple]], fan_in: int = FAN_IN) -> Iterator[tuple]:
+    """All rows of sorted runs in order; more than ``fan_in`` runs are merged in passes."""
+    while len(runs) > fan_in:
+        runs = [list(LoserTree(runs[i : i + fan_in])) for i in range(0, len(runs), fan_in)]
+    return iter(LoserTree(runs))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a range, which come by archive and place, so that each archive's are a sorted run as they stand."""
+    runs: list[list[tuple]] = []
+    last = None
     for b in batches:
-        b = b.astype({"page_id": object, "refers_to": object}).where(b.notna(), None)
-        for row in b[[*names, "place"]].itertuples(index=False, name=None):
-            slices.setdefault(row[3], []).append(row)
-    for r in slices.values():  # an exchange may deliver a run's rows in pieces; the place in the run restores them
-        r.sort(key=lambda row: row[-1])
-    held = []
-    for row in LoserTree(list(slices.values())):
-        held.append(row[:-1])
+        for row in zip(*(b.column(c).to_pylist() for c in COLUMNS)):
+            if row[3] != last:
+                runs.append([])
+                last = row[3]
+            runs[-1].append(row)
+    held, schema = [], pa.schema([RUN.field(c) for c in COLUMNS])
+    for row in merge_runs(runs):
+        held.append(row)
         if len(held) == 10_000:
-            yield pd.DataFrame(held, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _rows(held, schema)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for run in _parse(batches):
-        run["place"] = range(len(run))
-        yield run
+        yield _rows(held, schema)
 
 
 def build_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The merged index of the archives under ``path``, partitions in global order."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
-    runs = materialize(archives.mapInPandas(_number, f"{INDEX}, place long"), "runs")
+    runs = materialize(archives.mapInArrow(_parse, f"{INDEX}, place long"), "runs")
     n = max(1, -(-runs.count() // range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
     ranges = runs.repartitionByRange(n, "url_key", "ts", "page_id", "archive", "offset")
-    return ranges.mapInPandas(_merge, INDEX)
+    return ranges.sortWithinPartitions("archive", "place").mapInArrow(_merge, INDEX)
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, ts: str | None = None) -> DataFrame:
