@@ -2,7 +2,8 @@
 
 1. Anchors. Of any 101 consecutive 300-byte strings, those with the least hash are anchors; so each 400-byte string holds an
    anchor, and equal strings hold equal anchors at equal places. Only anchors are exchanged (two in about a hundred bytes): a hash
-   of the anchor, a hash of its surroundings (up to 100 bytes on both sides, all that any 400-byte string around it can reach).
+   of the anchor, two independent hashes of its surroundings (up to 100 bytes on both sides, all that any 400-byte string around it
+   can reach): a polynomial of the bytes, and a sum over mixed 8-byte windows.
 2. Anchors that occur once are dropped. Occurrences whose surroundings occur twice are repeated as a whole. What is left are
    the few occurrences at the ends of passages, where surroundings differ.
 3. Those are compared exactly. A batch of anchor groups is sorted twice, by what follows and by what precedes the anchor, with
@@ -14,12 +15,14 @@
 4. Spans are joined to the texts and cut out.
 
 Scale: hashes of anchors are counted on the map side, joins on a hot anchor are against written tables. Ends of passages of one
-anchor shared by more than ``GROUP`` different surroundings are counted as hashes of single 400-byte strings instead, rows that
-combine on the map side. The whole text is exchanged once, and once more the texts that hold ends of passages.
+anchor shared by more than ``GROUP`` different surroundings would be one large sort in one task; they are counted by the two hashes of
+their single 400-byte strings instead, rows that combine on the map side. Both ways find the same spans (a test runs both). The whole
+text is exchanged once, and once more the texts that hold ends of passages.
 
 Defined cases: a null or empty text has no bytes, no removal and the hash of nothing; texts below 400 bytes lose nothing; repeated
 rows are copies of each other and lose all bytes if they have 400; a null doc_id is a value like another. An empty table gives an
-empty result. Extra columns are ignored. Occurrences are identified by 64-bit hashes.
+empty result. Extra columns are ignored; doc_id may have any type that a string can be cast back to. What is equal is decided on bytes
+at the ends of passages, and by 128 bits or more of hashes elsewhere.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm import textbuf as tb
-from onomast.plans.shared import materialize
+from onomast.llm.columns import type_of
+from onomast.plans.shared import materialize, scratch
 
 LENGTH = 400
 ANCHOR = 300
@@ -51,8 +55,8 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, hashes with surroundings) of the anchors of a text of 400 bytes or more."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, two hashes with surroundings) of the anchors of a text of 400 bytes or more."""
     b = np.frombuffer(raw, np.uint8)
     n = len(b) - ANCHOR + 1
     prefix = tb.prefix_hashes(b)
@@ -64,22 +68,26 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = np.flatnonzero(h == _sliding(np.concatenate([edge, least, edge]), width, np.maximum))
     left, right = np.minimum(p, REACH), np.minimum(n - 1 - p, REACH)
     around = tb.span_hashes(prefix, p - left, p + ANCHOR + right)
-    return p, h[p], tb.mix(around + (left * 128 + right).astype(np.uint64))
+    check = tb.span_hashes(tb.check_prefix(b), p - left, p + ANCHOR + right - 7, tb.CHECK_INVERSE)
+    return p, h[p], tb.mix(around + (left * 128 + right).astype(np.uint64)), check
+
+
+ANCHORS = "h long, x long, y long, key long, pos int"
 
 
 def _emit_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in ANCHORS.split(", ")]
     for b in batches:
         held, total = [], 0
         for key, text in zip(b["key"], b["text"]):
-            raw = text.encode()
-            p, h, x = anchors(raw)
-            held.append((h.view(np.int64), x.view(np.int64), np.full(len(p), key, np.int64), p.astype(np.int32), np.full(len(p), len(raw), np.int32)))
+            p, h, x, y = anchors(text.encode())
+            held.append((h.view(np.int64), x.view(np.int64), y.view(np.int64), np.full(len(p), key, np.int64), p.astype(np.int32)))
             total += len(p)
             if total > 100_000:
-                yield pd.DataFrame(dict(zip(("h", "x", "key", "pos", "size"), map(np.concatenate, zip(*held)))))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
                 held, total = [], 0
         if held:
-            yield pd.DataFrame(dict(zip(("h", "x", "key", "pos", "size"), map(np.concatenate, zip(*held)))))
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -102,7 +110,7 @@ def cut_out(raw: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     return int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest()
 
 
-_SETTLE = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, open boolean, text string, spans array<long>, ends array<struct<h:long,pos:int,left:int,around:binary>>"
+_SETTLE = "doc_id string, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, open boolean, text string, spans array<long>, ends array<struct<h:long,pos:int,left:int,around:binary>>"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +128,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 opened = bool((~sure).any())
             removed, runs, digest = (None, None, None) if opened else cut_out(raw, spans)
             out.append((doc, key, len(raw), removed, runs, digest, opened, text if opened else None, spans.ravel() if opened else None, ends or None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SETTLE.split(", ")]).astype({"doc_id": "Int64", "n_removed": "Int64", "n_spans": "Int64"})
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SETTLE.split(", ")]).astype({"n_removed": "Int64", "n_spans": "Int64"})
 
 
 class Suffixes:
@@ -235,12 +243,14 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _single_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each 400-byte string around an end of a passage."""
+    """A row for each 400-byte string around an end of a passage, with its two hashes."""
     for b in batches:
         for key, pos, left, around in zip(b["key"], b["pos"], b["left"], b["around"]):
-            prefix = tb.prefix_hashes(np.frombuffer(around, np.uint8))
+            raw = np.frombuffer(around, np.uint8)
             at = np.arange(max(len(around) - LENGTH + 1, 0))
-            yield pd.DataFrame({"s": tb.span_hashes(prefix, at, at + LENGTH).view(np.int64), "key": key, "start": at + pos - left})
+            s = tb.span_hashes(tb.prefix_hashes(raw), at, at + LENGTH)
+            t = tb.span_hashes(tb.check_prefix(raw), at, at + LENGTH - 7, tb.CHECK_INVERSE)
+            yield pd.DataFrame({"s": s.view(np.int64), "t": t.view(np.int64), "key": key, "start": at + pos - left})
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,27 +261,37 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, e = (np.zeros(0, np.int64),) * 2 if start is None else (np.asarray(start, np.int64), np.asarray(end, np.int64))
             raw = text.encode()
             out.append((doc, len(raw), *cut_out(raw, merge_spans(np.concatenate([known[:, 0], s]), np.concatenate([known[:, 1], e])))))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
     tb.small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = keyed.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInPandas(_emit_anchors, "h long, x long, key long, pos int, size int")
+    with scratch() as keep:
+        settled, late = _settled(docs, keep)
+    done = settled.where("not open").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.union(late).withColumn("doc_id", F.col("doc_id").cast(type_of(docs, "doc_id")))
+
+
+def _settled(docs: DataFrame, keep: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows of texts judged by whole surroundings (and the open rest), rows of that rest; doc_id as a string."""
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = keyed.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInPandas(_emit_anchors, ANCHORS)
     # A text of 400 bytes in all has one string; its surroundings are whole, so the rules below hold for it as well.
-    again = materialize(found.groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("same")), "anchors")
-    repeated = materialize(found.join(again, "h").select("h", "x", "key", "pos", "same"), "repeated")
+    whole = F.struct("x", "y")
+    again = found.groupBy("h").agg(F.count("*").alias("n"), F.min(whole).alias("a"), F.max(whole).alias("b")).where("n > 1")
+    again = materialize(again.select("h", (F.col("a") == F.col("b")).alias("same")), "anchors")
+    repeated = materialize(found.join(again, "h").select("h", "x", "y", "key", "pos", "same"), "repeated")
     mixed = repeated.where("not same")
-    classes = materialize(mixed.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("first")), "surroundings")
+    classes = materialize(mixed.groupBy("h", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("first")), "surroundings")
     partly = materialize(classes.groupBy("h").agg(F.max(F.col("n") == 1).alias("ends")), "partly")
     classes = materialize(classes.join(partly, "h"), "surroundings-known")
     one = F.col("n") == 1
     lends = F.col("ends") & (F.col("first") == F.struct("key", "pos"))
-    kinds = mixed.join(classes, ["h", "x"]).select("key", "pos", F.when(one, 3).when(lends, 2).otherwise(0).alias("kind"), "h")
+    kinds = mixed.join(classes, ["h", "x", "y"]).select("key", "pos", F.when(one, 3).when(lends, 2).otherwise(0).alias("kind"), "h")
     marks = repeated.where("same").select("key", "pos", F.lit(0).alias("kind"), "h").union(kinds)
     # kind: bit 0, not known to be repeated; bit 1, its bytes are compared.
     by_text = marks.groupBy("key").agg(F.collect_set(F.struct("pos", "kind", "h")).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.kind").alias("kind"), F.col("m.h").alias("h"))
@@ -282,14 +302,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sized = ends.join(sizes, "h")
     spans = sized.where(F.col("n") <= GROUP).drop("n").repartition("h").sortWithinPartitions("h").mapInPandas(_compare, "key long, start long, end long")
     if not sizes.where(F.col("n") > GROUP).isEmpty():
-        single = materialize(sized.where(F.col("n") > GROUP).drop("n").mapInPandas(_single_strings, "s long, key long, start long"), "single-strings")
+        single = materialize(sized.where(F.col("n") > GROUP).drop("n").mapInPandas(_single_strings, "s long, t long, key long, start long"), "single-strings")
         # Several anchors can stand in one string, so it is its place that must differ.
         place = F.struct("key", "start")
-        twice = materialize(single.groupBy("s").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("s"), "twice")
-        spans = spans.union(single.join(twice, "s").select("key", "start", (F.col("start") + LENGTH).alias("end")))
+        twice = materialize(single.groupBy("s", "t").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("s", "t"), "twice")
+        spans = spans.union(single.join(twice, ["s", "t"]).select("key", "start", (F.col("start") + LENGTH).alias("end")))
     of_text = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("m")).select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end")), "end-spans")
     late = settled.where("open").select("key", "doc_id", "text", "spans").join(of_text, "key", "left").select("doc_id", "text", "spans", "start", "end").mapInPandas(_finish, RESULT)
-    return settled.where("not open").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(late)
+    keep += [settled, of_text]
+    return settled, late
 
 
 def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:

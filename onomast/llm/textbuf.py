@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+CHECK_BASE = 0xD1342543DE82EF95
+CHECK_INVERSE = pow(CHECK_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 19
 BATCH_ROWS = 512
 
@@ -70,9 +72,19 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def check_prefix(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of a second hash over ``raw``, of its 8-byte windows and so not a polynomial of its bytes: windows that begin in
+    [s, e) add up to P[e] - P[s], which belongs to raw[s : e + 7]."""
+    padded = np.concatenate([raw, np.zeros(7, np.uint8)])
+    windows = np.ndarray((len(raw),), "<u8", padded.tobytes(), strides=(1,))
+    out = np.zeros(len(raw) + 1, U64)
+    np.cumsum(mix(windows + U64(BASE)) * powers(len(raw), CHECK_BASE), out=out[1:])
+    return out
+
+
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
     """Position-free hashes of the spans [start, end) of the buffer behind ``prefix``."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), INVERSE)[start])
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix), inverse)[start])
 
 
 def chunks(texts: list) -> Iterator[tuple[int, list[bytes]]]:
