@@ -7,8 +7,9 @@ no piece is built and no character is read twice.
 Words come from the vocabulary file's own rules: NFC, lower case, its word pattern, bytes written as printable characters, and
 an end-of-word mark as a last symbol. A word that cannot be cut is one (unknown) token.
 
-Scale: map-only, one pass over the text; the automaton is built once in each Python worker from the vocabulary file, whose path
-is a parameter. Counts of words are remembered in a table of bounded size.
+Scale: map-only, one pass over the text. The driver reads the vocabulary file, whose path is a parameter, and broadcasts its tokens
+(at most ``MAX_TOKENS``); executors need no such file. Each Python worker builds the automaton once and remembers the counts of words
+in a table of bounded size.
 
 Defined cases: a null or empty text has 0 words and 0 tokens; a word of any length costs time in proportion; repeated rows are
 counted each; a null doc_id stays null. Extra columns are ignored.
@@ -16,7 +17,7 @@ counted each; a null doc_id stays null. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable
@@ -32,6 +33,7 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END_MARK = "</w>"
 REMEMBERED = 500_000
+MAX_TOKENS = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -118,19 +120,23 @@ class Counter(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-@functools.cache
-def counter(path: str) -> Counter:
-    return Counter(LongestMatch(load_vocabulary(path)))
+_counters: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens for every document."""
-
     small_batches(docs.sparkSession)
+    tokens = load_vocabulary(vocabulary)
+    if len(tokens) > MAX_TOKENS:
+        raise ValueError(f"{vocabulary} holds {len(tokens)} tokens; at most {MAX_TOKENS} are broadcast")
+    named = hashlib.sha256(repr(tokens).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
 
     @F.pandas_udf("n_words long, n_tokens long")
     def count(texts: pd.Series) -> pd.DataFrame:
-        c = counter(vocabulary)
+        if named not in _counters:
+            _counters[named] = Counter(LongestMatch(sent.value))
+        c = _counters[named]
         return pd.DataFrame([c.count(t) for t in texts], columns=["n_words", "n_tokens"], dtype="int64")
 
     return docs.select("doc_id", count("text").alias("n")).select("doc_id", "n.n_words", "n.n_tokens")
