@@ -14,8 +14,8 @@ no entity can reach by exact bounds on their counts go before any pair is made;
 whose hash bucket, one of ``BUCKETS``, holds a term that is left; the table of buckets is bounded by that number and broadcast.
 Entities of the same documents are one, and terms of a single document need no pairs. What is left is paired within a document.
 
-Defined cases: a null or empty text has no spans; a null doc_id is a value like another; rows with one doc_id share the set of terms to
-look for; repeated rows count as documents of their own; no rows or no entity give no term. Extra columns are ignored.
+Defined cases: a null or empty text has no spans; a null doc_id is a value like another, and no decision depends on doc_id; repeated
+rows count as documents of their own; no rows or no entity give no term. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = r"\p{L}{3,}"
 ALPHA = 0.95
 BUCKETS = 1 << 20
+PIECE = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -61,17 +62,32 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.filter(both, lambda x: x["match"].isNotNull())
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once: what stands in a lambda is evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _located(matches: Column, keep: Callable[[Column], Column], kind: int) -> Column:
-    """Spans of the matches that ``keep`` accepts, from the lengths of what comes before them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """Spans of the matches that ``keep`` accepts, from the lengths of what comes before them.
+
+    Appending copies an array, so matches are taken ``PIECE`` at a time: first the place at which each piece starts, then its spans."""
+    rows = F.transform(matches, lambda x: F.struct(F.length(x["before"]).alias("skip"), F.length(x["match"]).alias("size"), keep(x["match"]).alias("keep")))
 
     def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["before"])
-        e = s + F.length(x["match"])
-        span = F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"))
-        return F.struct(e.alias("at"), F.when(keep(x["match"]), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        s = acc["at"] + x["skip"]
+        span = F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + x["size"]).alias("end"))
+        return F.struct((s + x["size"]).alias("at"), F.when(x["keep"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def starts(pieces: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        total = lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x["skip"] + x["size"])
+        return F.aggregate(pieces, first, lambda acc, p: F.struct((acc["at"] + total(p)).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+    def spans(piece: Column, at: Column) -> Column:
+        return F.aggregate(piece, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
 
-    return F.aggregate(matches, start, step, lambda acc: acc["spans"])
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor(F.size(r) / PIECE).cast("int")), lambda i: F.slice(r, i * PIECE + 1, F.lit(PIECE)))
+    return _bound(rows, lambda r: _bound(cut(r), lambda pieces: F.flatten(F.zip_with(pieces, starts(pieces), spans))))
 
 
 def base_spans(text: Column) -> Column:
@@ -113,8 +129,8 @@ def _in_buckets(words: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term: words of every text whose bucket holds one of ``terms``, once a row."""
-    return _in_buckets(texts.select("doc_id", F.explode(_words(F.col("text"))).alias("term")), terms).select("doc_id", "term")
+    """h, term: words of every text whose bucket holds one of ``terms``, once a row; h is a hash of the text."""
+    return _in_buckets(texts.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term")), terms).select("h", "term")
 
 
 def disclosing_terms(texts: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -156,11 +172,12 @@ def find_spans(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     ``__certain``, those to remove."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = disclosing_terms(texts, alpha)
-    hits = _occurrences(texts, terms).join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__all"), F.collect_set(F.when(F.col("certain"), F.col("term"))).alias("__certain"))
-    hits = materialize(hits.withColumnRenamed("doc_id", "__id"), "term-hits")
+    # Rows of one text share its terms, so a group holds no more than the distinct words of a text, however often it is repeated.
+    hits = _occurrences(texts, terms).join(terms, "term").groupBy("h").agg(F.collect_set("term").alias("__all"), F.collect_set(F.when(F.col("certain"), F.col("term"))).alias("__certain"))
+    hits = materialize(hits.withColumnRenamed("h", "__h"), "term-hits")
     text = F.coalesce(F.col("text"), F.lit(""))
-    based = docs.withColumn("__base", base_spans(text))
-    joined = based.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    based = docs.withColumns({"__base": base_spans(text), "__h": F.xxhash64(text)})
+    joined = based.join(hits, "__h", "left").drop("__h")
     found = _located(_matches(text, WORD), lambda m: F.array_contains("__all", F.lower(m)), 4)
     apart = F.filter(found, lambda t: ~F.exists("__base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return joined.withColumn("__terms", F.when(F.col("__all").isNotNull(), apart).otherwise(F.array().cast(SPAN))).drop("__all")

@@ -84,11 +84,51 @@ _GRAMS = r"""
     items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ids from (select distinct doc_id, cast(item_id as varchar) as k from hits) group by 1)"""
 
 
+#: Base spans by place, then every pair of an entity and a term by plain counts of documents.
+_DISCLOSURE = r"""
+    with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents), total as (select count(*) as total from d),
+    kinds as (select * from (values (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (4, 'term', '\p{L}{3,}')) as v(kind, name, pattern)),
+    lists as (select k, kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as ms, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as gs from d, kinds where kind = 0
+      union all select k, kind, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') from d, kinds where kind = 1
+      union all select k, kind, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') from d, kinds where kind = 2
+      union all select k, kind, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') from d, kinds where kind = 3
+      union all select k, kind, regexp_extract_all(t, '\p{L}{3,}'), string_split_regex(t, '\p{L}{3,}') from d, kinds where kind = 4),
+    each as (select k, kind, unnest(range(1, len(ms) + 1)) as i, unnest(ms) as m, unnest(gs[1:len(ms)]) as g from lists),
+    placed as (select k, kind, m, cast(sum(length(g) + length(m)) over (partition by k, kind order by i) as bigint) as e, regexp_replace(m, '[^0-9]', '', 'g') as digits from each),
+    base as (select k, kind, e - length(m) as s, e, case kind when 0 then concat('email:', lower(m)) when 1 then concat('ip:', m) when 2 then concat('card:', digits) else concat('phone:', digits) end as entity from placed where case kind
+      when 0 then true when 1 then regexp_full_match(m, 'OCTET(\.OCTET){3}') when 2 then length(digits) between 12 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda j: cast(digits[length(digits) - j + 1] as int) * (2 - j % 2) - case when j % 2 = 0 and digits[length(digits) - j + 1] > '4' then 9 else 0 end)) % 10 = 0
+      when 3 then length(digits) between 9 and 15 else false end),
+    ents as (select distinct k, entity from base), words as (select distinct k, unnest(regexp_extract_all(lower(t), '\p{L}{3,}')) as term from d),
+    ne as (select entity, count(*) as n_entity from ents group by 1), nt as (select term, count(*) as n_term from words group by 1),
+    terms as (select distinct term from (select entity, term, count(*) as n from ents join words using (k) group by 1, 2) join ne using (entity) join nt using (term), total
+      where log2(total / n_entity) > 0 and log2(n / n_term * total / n_entity) >= 0.95 * log2(total / n_entity)),
+    found as (select k, 4 as kind, e - length(m) as s, e from placed where kind = 4 and lower(m) in (select term from terms)),
+    apart as (select * from found f where not exists (select 1 from base b where b.k = f.k and f.s < b.e and b.s < f.e)),
+    counts as (select k, count(*) filter (kind = 0) as n_email, count(*) filter (kind = 1) as n_ip, count(*) filter (kind = 2) as n_card, count(*) filter (kind = 3) as n_phone, string_agg(concat(name, ':', s, ':', e), ',' order by s, kind) as written from base join kinds using (kind) group by k),
+    everything as (select k, count(*) filter (kind = 4) as n_term, string_agg(concat(name, ':', s, ':', e), ',' order by s, kind, e) as spans from (select k, kind, s, e from base union all select k, kind, s, e from apart) join kinds using (kind) group by k)
+    select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(written, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_term, 0) as n_term from d left join counts using (k) left join everything using (k)""".replace("OCTET", "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])")
+
+#: All 400-byte strings by place, those that occur twice, their runs, what is left.
+_REPEATS = """
+    with b as (select row_number() over () as k, doc_id, encode(coalesce(text, '')) as b from documents),
+    w as (select k, i, md5(b[i:i + 399]) as h from (select k, b, unnest(range(1, greatest(octet_length(b) - 398, 1))) as i from b)),
+    r as (select k, i from (select k, i, count(*) over (partition by h) as c from w) where c > 1),
+    m as (select k, i, sum(n) over (partition by k order by i) as g from (select k, i, case when i - lag(i) over (partition by k order by i) <= 400 then 0 else 1 end as n from r)),
+    s as (select k, min(i) as s, max(i) + 400 as e from m group by k, g),
+    p as (select k, s, e, coalesce(lag(e) over (partition by k order by s), 1) as f from s),
+    t as (select k, sum(e - s) as n_removed, count(*) as n_spans, max(e) as last from p group by k),
+    kept as (select p.k, list_reduce(list(b[f:s - 1] order by s), lambda x, y: x || y) as head from p join b using (k) group by p.k)
+    select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(case when last is null then b else head || b[last:] end) as kept_sha256
+    from b left join t using (k) left join kept using (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, cast(octet_length(encode(h)) as bigint) as n, sha256(h) as s from p),
             f as (select *, min(page_id) over (partition by s) as first from d)
             select page_id, n as payload_bytes, s as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from f""",
+        "op2_disclosure": _DISCLOSURE,
+        "op5_repeated_passages": _REPEATS,
         "op6_near_duplicates": f"""with recursive {_SHINGLES}, both_ways as (select a, b from links union all select b, a from links), {_COMPONENTS},
             c as (select v, min(r) as component_id from reach group by 1)
             select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, d.doc_id = coalesce(c.component_id, d.doc_id) as kept from documents d left join n using (doc_id) left join c on c.v = d.doc_id""",

@@ -68,7 +68,7 @@ def test_decontamination_against_brute_force(spark):
     docs += [(100, None), (101, ""), (102, "nobody owns these few words"), (103, "ÜNÏCODE WÖRDS"), (104, "ünïcode, wörds")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 40):
-        hits = decontaminate.find_hits(table(spark, [(i, t, "s") for i, t in docs]).select("doc_id", "text"), benchmark, block_bytes=block)
+        hits = decontaminate.find_hits(table(spark, [(i, t, "s") for i, t in docs]).select("doc_id", "text"), benchmark, block_bytes=block, chained=2)
         got = sorted(tuple(r) for r in decontaminate.contamination(hits).drop("text").collect())
         assert got == sorted(decontaminate.brute_force(docs, items))
     empty = decontaminate.decontaminate(table(spark, EDGES), benchmark.limit(0))

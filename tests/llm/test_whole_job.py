@@ -5,21 +5,24 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from onomast.llm import binary_codes, disclosure, near_dup
 
 
-def test_isolated_links_inside_a_large_family(spark, monkeypatch):
+@pytest.mark.parametrize("shared,start,own", [(64, 9, 11), (71, 3, 10)])
+def test_isolated_links_inside_a_large_family(spark, monkeypatch, shared, start, own):
+    """Backgrounds of 60 / 100 and 67 / 93, pairs at 69 / 91 and 70 / 90."""
     monkeypatch.setattr(near_dup, "REGION", 2)  # a family of hundreds is then as deep as one of thousands
     rng = random.Random(21)
     word = lambda: f"u{rng.randrange(10**9)}"
-    template = [f"t{i}" for i in range(64)]
+    template = [f"t{i}" for i in range(shared)]
     rows = []
-    for i in range(150):  # background 60 / 100, pairs at 69 / 91
-        start = [word() for _ in range(9)]
+    for i in range(150):
+        both = [word() for _ in range(start)]
         for j in range(2):
-            tail = start if i < 40 else [word() for _ in range(9)]
-            rows.append((2 * i + j, " ".join(template + tail + [word() for _ in range(11)])))
+            tail = both if i < 40 else [word() for _ in range(start)]
+            rows.append((2 * i + j, " ".join(template + tail + [word() for _ in range(own)])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(r)[:4] for r in near_dup.near_duplicates(frame).collect())
     want = sorted(near_dup.brute_force(rows))
