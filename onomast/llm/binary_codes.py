@@ -7,9 +7,10 @@
    number of vectors (about ``BUCKET`` vectors a bucket), the number of tables follows from it, so that a pair at the threshold
    shares a piece with probability 0.9999 or more. How often its bits agree is taken from the sample, about the mean that the codes
    are centred on: vectors with a common mean have wider angles there and get more tables.
-4. A bucket's vectors are compared by exact cosine in double precision, in blocks of bounded size; a pair is counted in the first
-   table that brings it together, so nothing is counted twice and no list of pairs is shuffled: a block returns counts and the
-   edges of a spanning forest.
+4. A bucket's vectors are compared in blocks of bounded size: by the Hamming distance of ``CODE`` bits of their codes, up to a radius
+   that a pair at the threshold exceeds with a probability of ``MISS`` or less; what is within it is reranked by exact cosine of the
+   original vectors in double precision. A pair is counted in the first table that brings it together, so nothing is counted twice
+   and no list of pairs is shuffled: a block returns counts and the edges of a spanning forest.
 
 Scale: a bucket above ``BLOCK`` vectors is cut into cells; each pair of cells is a task of its own, so memory is bounded whatever
 the bucket. The rotations (64 x 64 doubles each) are the only broadcast.
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onomast.plans.components import connected_components
-from onomast.plans.shared import materialize
+from onomast.plans.shared import materialize, scratch
 
 COSINE = 0.95
 SAMPLE = 4096
 BUCKET = 1024
 BLOCK = 1024
+CODE = 128
 MISS = 1e-4
 
 
@@ -77,6 +79,15 @@ def plan_tables(n: int, cosine: float, agree: np.ndarray | None = None) -> tuple
     return min(((b, tables(b)) for b in range(3, most + 1)), key=lambda p: p[1] * (1 + n / 2 ** p[0] / BUCKET))
 
 
+def hamming_radius(agree: np.ndarray, bits: int = CODE, miss: float = MISS) -> int:
+    """The least distance that a code of independent bits exceeds, over ``agree``, with a mean probability of at most ``miss``."""
+    k = np.arange(bits + 1)
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in k])
+    p = np.clip(1 - agree, 1e-12, 1 - 1e-12)[:, None]
+    beyond = 1 - np.cumsum(np.exp(ways + k * np.log(p) + (bits - k) * np.log1p(-p)), 1)
+    return int(np.argmax(beyond.mean(0) <= miss))
+
+
 def _unit(raw: pd.Series) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
     return x
@@ -97,22 +108,25 @@ def _encode(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
                 out.append((x / np.sqrt(x @ x)).tobytes())
         return pd.Series(out, dtype=object)
 
-    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), unit(F.col(column).cast("array<double>")).alias("unit"))
+    return vectors.select(F.col(id_column).alias("vec_id"), unit(F.col(column).cast("array<double>")).alias("unit"))
 
 
-def _find(cosine: float, bits: int):
+def _find(cosine: float, radius: int):
     """Links inside a block of one table's bucket: counts by vertex and the edges of a spanning forest."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         x, table, left, right = _unit(pdf["unit"]), int(pdf["t"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         cell, vertex, weight = pdf["cell"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy()
         codes = np.stack([np.frombuffer(c, np.int64) for c in pdf["pieces"]])
+        bits = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), -1)
         a, b = np.flatnonzero(cell == left), np.flatnonzero(cell == right)
-        near = x[a] @ x[b].T >= cosine
+        near = np.bitwise_count(bits[a][:, None, :] ^ bits[b][None, :, :]).sum(2, dtype=np.int64) <= radius
         if left == right:
             near = np.triu(near, 1)
+        rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        near = near[np.ix_(rows, columns)] & (x[a[rows]] @ x[b[columns]].T >= cosine)
         p, q = np.nonzero(near)
-        p, q = a[p], b[q]
+        p, q = a[rows[p]], b[columns[q]]
         if table and len(p):
             first = np.zeros(len(p), bool)
             for t in range(table):
@@ -139,26 +153,29 @@ def _find(cosine: float, bits: int):
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
-    encoded = materialize(_encode(vectors, id_column, column).withColumn("v", F.xxhash64("unit")), "units")
-    usable = encoded.where("unit is not null")
-    # A class is keyed by a 64-bit hash of its vector; equal hashes of different vectors are refused below.
-    classes = materialize(usable.groupBy("v").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"), F.min(F.sha2("unit", 256)).alias("h"), F.max(F.sha2("unit", 256)).alias("g")), "vectors")
-    if classes.where("h <> g").limit(1).count():
-        raise ValueError("two vectors share a 64-bit hash")
-    edges, counts = None, None
-    for width, n in sorted((r["d"], r["n"]) for r in classes.groupBy(F.length("unit").alias("d")).agg(F.count("*").alias("n")).collect()):
-        found = _links_of_width(classes.where(F.length("unit") == width).select("v", "w", "unit"), width // 8, n, cosine, spark)
-        e = found.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
-        c = found.select("v", "n")
-        edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
-    if edges is None:
-        dead = encoded.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return dead.withColumn("kept", F.lit(True))
-    components = connected_components(edges, "vectors")
-    joined = classes.select("v", "w", "least").join(counts.groupBy("v").agg(F.sum("n").alias("n")), "v", "left").join(components.select(F.col("id").alias("v"), "component"), "v", "left")
-    joined = materialize(joined.select("v", "w", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "v").alias("component")), "vector-components")
-    named = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")), "vector-names")
-    of_class = materialize(joined.join(named, "component").select("v", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id"), "vector-classes")
+    with scratch() as keep:
+        encoded = materialize(_encode(vectors, id_column, column).withColumn("v", F.xxhash64("unit")), "units")
+        usable = encoded.where("unit is not null")
+        # A class is keyed by a 64-bit hash of its vector; equal hashes of different vectors are refused below.
+        classes = materialize(usable.groupBy("v").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"), F.min(F.sha2("unit", 256)).alias("h"), F.max(F.sha2("unit", 256)).alias("g")), "vectors")
+        if classes.where("h <> g").limit(1).count():
+            raise ValueError("two vectors share a 64-bit hash")
+        edges, counts = None, None
+        for width, n in sorted((r["d"], r["n"]) for r in classes.groupBy(F.length("unit").alias("d")).agg(F.count("*").alias("n")).collect()):
+            found = _links_of_width(classes.where(F.length("unit") == width).select("v", "w", "unit"), width // 8, n, cosine, spark)
+            e = found.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
+            c = found.select("v", "n")
+            edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
+        if edges is None:
+            keep.append(encoded)
+            dead = encoded.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+            return dead.withColumn("kept", F.lit(True))
+        components = connected_components(edges, "vectors")
+        joined = classes.select("v", "w", "least").join(counts.groupBy("v").agg(F.sum("n").alias("n")), "v", "left").join(components.select(F.col("id").alias("v"), "component"), "v", "left")
+        joined = materialize(joined.select("v", "w", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "v").alias("component")), "vector-components")
+        named = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")), "vector-names")
+        of_class = materialize(joined.join(named, "component").select("v", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id"), "vector-classes")
+        keep += [encoded, of_class]
     out = encoded.select("vec_id", F.when(F.col("unit").isNotNull(), F.col("v")).alias("v")).join(of_class, "v", "left")
     component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
@@ -169,8 +186,10 @@ def _links_of_width(classes: DataFrame, dims: int, n: int, cosine: float, spark)
     sample = classes.where(F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("v", "unit").toPandas().sort_values("v")
     x = _unit(sample["unit"]) if len(sample) else np.zeros((1, dims))
     mean = x.mean(0)
-    bits, tables = plan_tables(n, cosine, agreement(x, mean, cosine))
-    rotations = np.concatenate([learn_rotation(x - mean, seed) for seed in range(math.ceil(bits * tables / dims))], axis=1)[:, : bits * tables]
+    agree = agreement(x, mean, cosine)
+    bits, tables = plan_tables(n, cosine, agree)
+    width = max(bits * tables, CODE)
+    rotations = np.concatenate([learn_rotation(x - mean, seed) for seed in range(math.ceil(width / dims))], axis=1)[:, :width]
     sent = spark.sparkContext.broadcast((mean, rotations))
     place = 1 << np.arange(bits, dtype=np.int64)
 
@@ -179,17 +198,17 @@ def _links_of_width(classes: DataFrame, dims: int, n: int, cosine: float, spark)
         for b in batches:
             if len(b):
                 on = (_unit(b["unit"]) - centre) @ r >= 0
-                pieces = (on.reshape(len(b), tables, bits) * place).sum(2)
-                yield b.assign(pieces=[p.tobytes() for p in pieces], keys=list(pieces))
+                pieces = (on[:, : bits * tables].reshape(len(b), tables, bits) * place).sum(2)
+                yield b.assign(code=[p.tobytes() for p in np.packbits(on[:, :CODE], axis=1)], pieces=[p.tobytes() for p in pieces], keys=list(pieces))
 
-    coded = classes.mapInPandas(code, "v long, w long, unit binary, pieces binary, keys array<long>")
-    placed = coded.select("v", "w", "unit", "pieces", F.posexplode("keys").alias("t", "key"))
+    coded = classes.mapInPandas(code, "v long, w long, unit binary, code binary, pieces binary, keys array<long>")
+    placed = coded.select("v", "w", "unit", "code", "pieces", F.posexplode("keys").alias("t", "key"))
     buckets = materialize(placed.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     cells = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = placed.join(buckets, ["t", "key"]).withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64(F.lit(3), "v"), F.col("cells")).cast("int"))
     other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumns({"i": F.least("cell", "o"), "j": F.greatest("cell", "o")})
-    blocks = other.select("t", "key", "i", "j", "cell", "v", "w", "unit", "pieces")
-    return materialize(blocks.groupBy("t", "key", "i", "j").applyInPandas(_find(cosine, bits), "v long, n long, root long"), "vector-links")
+    blocks = other.select("t", "key", "i", "j", "cell", "v", "w", "unit", "code", "pieces")
+    return materialize(blocks.groupBy("t", "key", "i", "j").applyInPandas(_find(cosine, hamming_radius(agree)), "v long, n long, root long"), "vector-links")
 
 
 def brute_force(ids: list[int], vectors: list, cosine: float = COSINE) -> list[tuple]:
