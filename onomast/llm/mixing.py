@@ -4,10 +4,11 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 cost 1, a second time at cost 2, a third time at cost 3; edges lead from patterns to their sources and from sources to a sink
 with each source's quota. The cheapest flow of greatest size says how many words each pattern gives; convex costs make it use
 fresh words before repeats. Documents are then taken whole: every document of a pattern as often as the flow fills it, and
-once more those whose seeded hash is under a cut at which the pattern's words come nearest to its flow.
+once more those in a run of the seeded hash order that fits into what is left, then behind the document that it stopped at a run of
+those that fit into the rest, and so on.
 
-Scale: sizes are counted in one pass over the text; the cut is found from partial sums over hash prefixes (three levels of
-256), each combined on the map side, so a source with a third of all rows is never brought together. The driver sees one row
+Scale: sizes are counted in one pass over the text; the ends of runs are found from partial sums over hash prefixes (three levels),
+combined on the map side, so a source with a third of all rows is never brought together. The driver sees one row
 for each pattern; there may be ``max_patterns`` (more are refused: the flow is solved on one machine).
 
 Defined cases: a null source is a source of its own (last in order); a null or empty text has size 0 and takes 0; no row or no
@@ -17,15 +18,19 @@ columns are ignored.
 
 from __future__ import annotations
 
-import heapq
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from onomast.llm.columns import free_name
 from onomast.plans.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 COPIES = 3
+#: Runs of the hash order from which a pattern's last copies are taken; each leaves less than the document that it stopped at.
+RUNS = 4
 WEIGHTS = (1, 2, 3)
 
 
@@ -45,110 +50,136 @@ def targets(sizes: dict, weights: dict, total: float, most: int = COPIES) -> dic
 
 
 def min_cost_flow(patterns: dict[int, tuple[int, list]], quotas: dict) -> dict[int, int]:
-    """Words that each pattern gives. patterns: key -> (size, its sources). Successive cheapest paths with potentials;
-    an augmentation fills an edge, so their number follows the number of edges and not that of words."""
+    """Words that each pattern gives. patterns: key -> (size, its sources).
+
+    Only the edges to the patterns cost anything, 1, 2 and 3, so a cheapest augmenting path is one whose first edge is cheapest: the
+    flow is made greatest with first copies alone, then with second copies too, then with third ones. What no path of a dearer copy
+    can reach stays out of reach, so earlier copies never become useful again. Each is a blocking-flow computation over levels."""
     source_at = {s: i for i, s in enumerate(quotas)}
     P, S = len(patterns), len(quotas)
-    start, sink = P + S, P + S + 1
-    graph: list[list[list]] = [[] for _ in range(P + S + 2)]
-
-    def edge(a: int, b: int, cap: int, cost: int) -> None:
-        graph[a].append([b, cap, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
+    sink = P + S
+    to: list[int] = []
+    room: list[int] = []
+    edges: list[list[int]] = [[] for _ in range(P + S + 1)]
+
+    def edge(a: int, b: int, capacity: int) -> None:
+        edges[a].append(len(to))
+        edges[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((capacity, 0))
+
+    sizes = [n for n, _ in patterns.values()]
     for i, (size, members) in enumerate(patterns.values()):
-        for copy in range(1, COPIES + 1):
-            edge(start, i, size, copy)
         for s in members:
-            edge(i, P + source_at[s], COPIES * size, 0)
+            edge(i, P + source_at[s], COPIES * size)
     for s, quota in quotas.items():
-        edge(P + source_at[s], sink, quota, 0)
-    potential = [0] * len(graph)
-    while True:
-        dist, via = {start: 0}, {}
-        heap = [(0, start)]
-        done = set()
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            done.add(u)
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
-                if cap and (nd := d + cost + potential[u] - potential[v]) < dist.get(v, 1 << 60):
-                    dist[v], via[v] = nd, (u, k)
-                    heapq.heappush(heap, (nd, v))
-        if sink not in dist:
-            break
-        for v in range(len(graph)):
-            potential[v] += dist.get(v, dist[sink])
-        v, room = sink, 1 << 62
-        while v != start:
-            u, k = via[v]
-            room, v = min(room, graph[u][k][1]), u
-        v = sink
-        while v != start:
-            u, k = via[v]
-            graph[u][k][1] -= room
-            graph[v][graph[u][k][3]][1] += room
-            v = u
-    used = dict.fromkeys(patterns, 0)
-    for i, key in enumerate(patterns):
-        used[key] = sum(graph[e[0]][e[3]][1] for e in graph[start] if e[0] == i)
-    return used
+        edge(P + source_at[s], sink, quota)
+    used = [0] * P
+    for copy in range(1, COPIES + 1):
+        offer = [copy * n - u for n, u in zip(sizes, used)]
+        while True:
+            level, queue = {sink: 0}, [sink]
+            for v in queue:  # distances to the sink over edges with room
+                for e in edges[v]:
+                    if room[e ^ 1] and to[e] not in level:
+                        level[to[e]] = level[v] + 1
+                        queue.append(to[e])
+            open_ = [i for i in range(P) if offer[i] and i in level]
+            if not open_:
+                break
+            at = dict.fromkeys(level, 0)
+            for i in open_:
+                while offer[i]:
+                    path, v = [], i
+                    while v != sink:
+                        while at[v] < len(edges[v]):
+                            e = edges[v][at[v]]
+                            if room[e] and level.get(to[e], -1) == level[v] - 1:
+                                break
+                            at[v] += 1
+                        if at[v] < len(edges[v]):
+                            path.append(edges[v][at[v]])
+                            v = to[path[-1]]
+                        elif path:  # a dead end: back, and past the edge that led here
+                            v = to[path.pop() ^ 1]
+                            at[v] += 1
+                        else:
+                            break
+                    if v != sink:
+                        break
+                    n = min(offer[i], *(room[e] for e in path))
+                    for e in path:
+                        room[e] -= n
+                        room[e ^ 1] += n
+                    offer[i] -= n
+                    used[i] += n
+    return dict(zip(patterns, used))
+
+
+def seeded_order(seed: int) -> Column:
+    """The seeded hash of a document, 32 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 32)
 
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _cuts(sized: DataFrame, extra: DataFrame) -> dict[int, int]:
-    """For each pattern the largest prefix of the hash order whose words come nearest to ``extra``: documents with
-    ``__order`` below the cut are taken once more. Three levels of 256 prefixes, 24 bits, then single hashes."""
-    spark = sized.sparkSession
-    state = {r["__pattern"]: [0, r["__extra"]] for r in extra.collect()}
-    for level in range(1, 4):
+def _next_cut(sized: DataFrame, asked: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """For each pattern, of its documents from ``low`` on in the order of hashes that are no larger than ``room``, the longest run of
+    hashes that fits into it: the hash behind it and the room that is left. Three levels, of 11, 11 and 10 bits, so that at most 2048
+    sums of a pattern meet; a row a pattern comes back."""
+    spark, state, done = sized.sparkSession, {p: (low, room, 0, room) for p, (low, room) in asked.items()}, {}
+    for above, bits in ((32, 21), (21, 10), (10, 0)):
         if not state:
             break
-        at = spark.createDataFrame([(p, low >> (32 - 8 * (level - 1)) if level > 1 else 0) for p, (low, _) in state.items()], "__pattern long, __above long")
-        prefix = F.shiftrightunsigned("__order", 32 - 8 * level)
-        inside = sized.join(F.broadcast(at), "__pattern").where(F.shiftright(prefix, 8) == F.col("__above"))
-        sums = inside.groupBy("__pattern", prefix.alias("__prefix")).agg(F.sum("__size").alias("n")).collect()
-        by: dict[int, list] = {}
-        for r in sums:
-            by.setdefault(r["__pattern"], []).append((r["__prefix"], r["n"]))
-        for p, got in by.items():
-            low, room = state[p]
-            for prefix_value, n in sorted(got):
-                if n > room:
-                    state[p] = [prefix_value << (32 - 8 * level), room]
-                    break
-                room -= n
-                state[p] = [(prefix_value + 1) << (32 - 8 * level), room]
-    if not state:
-        return {}
-    at = spark.createDataFrame([(p, low >> 8, room) for p, (low, room) in state.items()], "__pattern long, __above long, __room long")
-    edge = sized.join(F.broadcast(at), "__pattern").where(F.shiftright("__order", 8) == F.col("__above"))
-    last: dict[int, list] = {}
-    for r in edge.groupBy("__pattern", "__order").agg(F.sum("__size").alias("n")).collect():
-        last.setdefault(r["__pattern"], []).append((r["__order"], r["n"]))
-    out = {}
-    for p, (low, room) in state.items():
-        cut = low
-        for order, n in sorted(x for x in last.get(p, ()) if x[0] >= low):
-            if n > 2 * room:  # taking it would miss by more than leaving it
-                break
-            room, cut = room - n, order + 1
-        out[p] = cut
+        at = spark.createDataFrame([(p, *x) for p, x in state.items()], "__pattern long, __low long, __room long, __above long, __most long")
+        prefix = F.shiftrightunsigned("__order", bits)
+        inside = sized.join(F.broadcast(at), "__pattern").where((F.col("__order") >= F.col("__low")) & (F.col("__size") <= F.col("__most")))  # a row a pattern
+        inside = inside.where(F.shiftrightunsigned("__order", above) == F.col("__above"))
+        sums = inside.groupBy("__pattern", "__room", prefix.alias("__prefix")).agg(F.sum("__size").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("__pattern").orderBy("__prefix"))
+        over = sums.withColumn("upto", upto).groupBy("__pattern").agg(F.min(F.when(F.col("upto") > F.col("__room"), F.struct("__prefix", (F.col("upto") - F.col("n")).alias("before")))).alias("x"), F.max("upto").alias("all"))
+        for r in over.collect():
+            low, room, _, most = state.pop(r["__pattern"])
+            if r["x"] is None:  # all of them fit
+                done[r["__pattern"]] = (1 << 32, room - r["all"])
+            elif bits:
+                state[r["__pattern"]] = (low, room - r["x"]["before"], r["x"]["__prefix"], most)
+            else:
+                done[r["__pattern"]] = (r["x"]["__prefix"], room - r["x"]["before"])
+    return done
+
+
+def _cuts(sized: DataFrame, extra: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
+    """For each pattern runs (low, high, most): documents with ``low <= __order < high`` and no more than ``most`` words are taken once
+    more. A run ends before the document that would take too much; the next goes on behind it with what fits into the rest."""
+    out: dict[int, list[tuple[int, int, int]]] = {p: [] for p in extra}
+    asked = {p: (0, room) for p, room in extra.items() if room > 0}
+    for _ in range(RUNS):
+        if not asked:
+            break
+        found = _next_cut(sized, asked)
+        for p, (high, _) in found.items():
+            out[p].append((asked[p][0], high, asked[p][1]))
+        asked = {p: x for p, x in found.items() if x[0] < 1 << 32 and x[1] > 0}
     return out
 
 
+def _times(runs: Column, copies: Column, order: Column, size: Column) -> Column:
+    """How often a document is taken."""
+    inside = lambda r: F.coalesce((order >= r["low"]) & (order < r["high"]) & (size <= r["most"]), F.lit(False))
+    more = functools.reduce(lambda a, b: a | b, (inside(F.get(runs, i)) for i in range(RUNS)))
+    return F.coalesce(copies + more.cast("long"), F.lit(0).cast("long"))
+
+
 def plan_mix(docs: DataFrame, sources: Column, seed: int = 11, max_patterns: int = 100_000, weights: dict | None = None) -> tuple[DataFrame, DataFrame, dict, dict]:
     """(rows ``doc_id, __pattern, __size, __order``; pattern table with copies and cut; source sizes; targets).
 
     ``sources``: an array column, the sources of a row. ``weights``: by source; by default 1, 2, 3 in turn by code point."""
     spark = docs.sparkSession
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 32)
-    rows = docs.select("doc_id", F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("__sources"), word_count().alias("__size"), order.alias("__order"))
+    members = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    rows = docs.select("doc_id", members.alias("__sources"), word_count().alias("__size"), seeded_order(seed).alias("__order"))
     rows = materialize(rows.withColumn("__pattern", F.xxhash64("__sources", F.size("__sources"))), "mix-sizes")
     found = rows.groupBy("__pattern", "__sources").agg(F.sum("__size").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -165,9 +196,8 @@ def plan_mix(docs: DataFrame, sources: Column, seed: int = 11, max_patterns: int
     wanted = targets({s: sizes[s] for s in ordered}, shares, sum(n for n, _ in patterns.values()))
     flow = min_cost_flow(patterns, {s: round(wanted[s]) for s in ordered})
     plan = [(p, min(COPIES, flow[p] // n) if n else 0, flow[p] % n if n and flow[p] // n < COPIES else 0) for p, (n, _) in patterns.items()]
-    schema = "__pattern long, __copies long, __extra long"
-    cuts = _cuts(rows.select("__pattern", "__size", "__order"), spark.createDataFrame([x for x in plan if x[2]], schema))
-    table = spark.createDataFrame([(p, c, cuts.get(p, 0)) for p, c, _ in plan], "__pattern long, __copies long, __cut long")
+    cuts = _cuts(rows.select("__pattern", "__size", "__order"), {p: x for p, _, x in plan if x})
+    table = spark.createDataFrame([(p, c, cuts.get(p, [])) for p, c, _ in plan], "__pattern long, __copies long, __runs array<struct<low:long,high:long,most:long>>")
     return rows, table, sizes, wanted
 
 
@@ -183,15 +213,17 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = 11) -> DataF
         out = out.join(F.broadcast(named), F.element_at("__sources", 1).eqNullSafe(F.col("__named")), "left")
     else:
         out = out.withColumns({"source_size": F.lit(None).cast("long"), "target": F.lit(None).cast("double")})
-    copies = F.coalesce(F.col("__copies") + (F.col("__order") < F.col("__cut")).cast("long"), F.lit(0))
-    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).alias("taken"))
+    times = _times(F.col("__runs"), F.col("__copies"), F.col("__order"), F.col("__size"))
+    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * times).alias("taken"))
 
 
 def copies_of(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``; rows without words
     give the mix nothing and aren't taken."""
-    rows, table, _, _ = plan_mix(docs, F.array("source"), seed)
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 32)
-    keyed = docs.withColumns({"__order": order, "__pattern": F.xxhash64(F.array_sort(F.array_distinct(F.array("source"))), F.lit(1))})
-    taken = keyed.join(F.broadcast(table), "__pattern").withColumn("__n", F.col("__copies") + (F.col("__order") < F.col("__cut")).cast("long"))
-    return taken.where((F.col("__n") > 0) & F.col("text").rlike(WORD)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    _, table, _, _ = plan_mix(docs, F.array("source"), seed)
+    pattern, copies, runs, size, again = (free_name(docs, c) for c in ("pattern", "copies", "runs", "words", "again"))
+    table = table.select(F.col("__pattern").alias(pattern), F.col("__copies").alias(copies), F.col("__runs").alias(runs))
+    keyed = docs.withColumns({pattern: F.xxhash64(F.array("source"), F.lit(1)), size: word_count()})
+    taken = keyed.join(F.broadcast(table), pattern).where(F.col(size) > 0)  # a row a pattern
+    times = _times(F.col(runs), F.col(copies), seeded_order(seed), F.col(size))
+    return taken.withColumn(again, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
