@@ -5,11 +5,13 @@ a weight for each term, the inner product of two terms' factors scores the pair,
 weigh more than the two words do apart.
 
 Fit: on at most ``max_train_rows`` labelled rows (those with the smallest hashes of doc_id), on the driver; only term ids of
-these rows and their labels travel. Scoring reads every whole text, map-only, with a parameter table of fixed size.
+these rows and their labels travel. How strongly a term must be associated with the label to get parameters is chosen from ``CUTS`` on
+a fold inside these rows (a fifth of them, by hash), which the fit for the choice doesn't see; the rows held out of training play no
+part. Scoring reads every whole text, map-only, with a parameter table of fixed size.
 
 Defined cases: a null or empty text has no terms and gets the score of the intercept; rows with a null label, or labels
-without a document, teach nothing; repeated labels of one doc_id count once, the largest; repeated documents are scored each;
-without any usable labelled row every score is 0. A null doc_id is not held out. Extra columns are ignored.
+without a document, teach nothing; repeated labels of one doc_id count once, the largest; repeated documents are scored each, and
+of them one text teaches; without any usable labelled row every score is 0. A null doc_id is not held out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import textbuf as tb
+from onomast.plans.shared import materialize, release
 
 BITS = 18
+#: Chi-squared values with one degree of freedom at the usual levels of 0.05, 0.01 and 0.001.
+CUTS = (3.84, 6.63, 10.83)
 
 
 def term_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +65,14 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(row, term, n), -30, 30)))
 
 
-def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8, max_terms: int = 4096, min_df: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The rows of ``x`` added up by ``at``."""
+    return np.stack([np.bincount(at, c, n) for c in x.T], 1)
+
+
+def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8, max_terms: int = 4096, min_df: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, seed: int = 7, cut: float = CUTS[-1]) -> FactorizationMachine:
     """Adagrad on the logistic loss. Terms kept: those in ``min_df`` texts or more with the strongest association (chi
-    squared) with the label; the rest get no parameters, so the many neutral words of a long text add no noise."""
+    squared above ``cut``) with the label; the rest get no parameters, so the many neutral words of a long text add no noise."""
     size, n = 1 << BITS, len(label)
     df = np.bincount(term, minlength=size).astype(float)
     pos = np.bincount(term, label[row], minlength=size)
@@ -70,7 +80,7 @@ def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8,
     with np.errstate(all="ignore"):
         chi = np.where(df >= min_df, (pos - df * rate_1) ** 2 / np.maximum(df * rate_1 * (1 - rate_1) * (1 - df / max(n, 1)), 1e-9), 0)
     kept = np.argsort(-chi, kind="stable")[:max_terms]
-    kept = np.sort(kept[chi[kept] > 10.83])
+    kept = np.sort(kept[chi[kept] > cut])
     slot = np.full(size, -1, np.int64)
     slot[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
@@ -86,16 +96,12 @@ def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8,
             take = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in batch])
             at, ss = np.repeat(np.arange(len(batch)), begins[batch + 1] - begins[batch]), s[take]
             vs = v[ss]
-            sums = np.zeros((len(batch), factors))
-            np.add.at(sums, at, vs)
-            squares = np.zeros((len(batch), factors))
-            np.add.at(squares, at, vs * vs)
+            sums, squares = _summed(at, vs, len(batch)), _summed(at, vs * vs, len(batch))
             m = w0 + np.bincount(at, w[ss], len(batch)) + 0.5 * (sums**2 - squares).sum(1)
             e = 1.0 / (1.0 + np.exp(-np.clip(m, -30, 30))) - label[batch]
             touched, back = np.unique(ss, return_inverse=True)
             dw = np.bincount(back, e[at], len(touched)) + l2 * len(batch) * w[touched]
-            dv = np.zeros((len(touched), factors))
-            np.add.at(dv, back, e[at, None] * (sums[at] - vs))
+            dv = _summed(back, e[at, None] * (sums[at] - vs), len(touched))
             dv += l2 * len(batch) * v[touched]
             gw[touched] += dw**2
             gv[touched] += dv**2
@@ -106,6 +112,21 @@ def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8,
     return FactorizationMachine(slot, w0, w, v)
 
 
+def choose_cut(row: np.ndarray, term: np.ndarray, label: np.ndarray, inner: np.ndarray) -> float:
+    """Of ``CUTS`` the one whose fit on the other rows has the least logistic loss on those of ``inner``."""
+    if len(np.unique(label[~inner])) < 2 or not inner.any():
+        return CUTS[-1]
+    number = np.cumsum(~inner) - 1
+    learn = ~inner[row]
+    tested = np.cumsum(inner) - 1
+    truth, losses = label[inner], []
+    for cut in CUTS:
+        model = fit(number[row[learn]], term[learn], label[~inner], epochs=6, cut=cut)
+        p = np.clip(model.scores(tested[row[~learn]], term[~learn], int(inner.sum())), 1e-6, 1 - 1e-6)
+        losses.append(-np.mean(truth * np.log(p) + (1 - truth) * np.log(1 - p)))
+    return CUTS[int(np.argmin(losses))]
+
+
 def held_out(column: str = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo 5, is 0: the fold that no label is learnt from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -115,24 +136,27 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_row
     """Fit on a sample of labelled documents outside the held-out fold; None without any."""
     tb.small_batches(spark)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("__label"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    place = F.xxhash64(F.lit(3), "doc_id")
     n = usable.count()
-    sample = usable.where(place < int((1 << 30) * min(1.0, max_train_rows / max(n, 1))) + 1)
+    few = usable.where(F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * max_train_rows / max(n, 1))) + 1)  # so that the sort has few
+    sample = materialize(few.orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(max_train_rows), "labelled")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row, term = term_ids(b["text"].tolist())
             cut = np.searchsorted(row, np.arange(len(b) + 1))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["__label"], "terms": [term[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(b))]})
+            yield pd.DataFrame({"place": b["place"], "label": b["__label"], "terms": [term[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(b))]})
 
-    # The sample has max_train_rows rows of 12 bytes at most (in expectation), so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(features, "doc_id long, label int, terms binary")
-    got = rows.where(place < 1 << 30).toPandas().sort_values(["doc_id", "terms"], kind="stable").head(2 * max_train_rows)
+    # The sample has at most max_train_rows rows of 12 bytes. Of a repeated doc_id one text is taken, so as many rows come back.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(place.alias("place"), "__label", "text").mapInPandas(features, "place long, label int, terms binary")
+    got = rows.groupBy("place").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).toPandas().sort_values("place")
+    release(sample)
     if got.empty or got["label"].nunique() < 2:
         return None
     terms = [np.frombuffer(t, np.int32) for t in got["terms"]]
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    return fit(row, np.concatenate(terms).astype(np.int64), got["label"].to_numpy(float))
+    row, term, label = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), got["label"].to_numpy(float)
+    inner = got["place"].to_numpy() % 5 == 0
+    return fit(row, term, label, cut=choose_cut(row, term, label, inner))
 
 
 def score_of(spark: SparkSession, model: FactorizationMachine | None) -> Callable[[str], Column]:
