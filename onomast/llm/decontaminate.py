@@ -5,8 +5,10 @@ length. For each pattern length a block of two words (one for short patterns) at
 up in a shift table; a positive shift skips positions that no pattern can end at, a zero shift leads to the bucket of the
 window's suffix, and its patterns are compared word by word.
 
-Scale: the documents are read once, map-only. The benchmark is taken in blocks of at most ``block_bytes`` of text, each made
-into one broadcast of that bound; further blocks are chained on the same rows, so no shuffle is added by a large benchmark.
+Scale: no shuffle. The benchmark streams to the driver, which holds one block of at most ``block_bytes`` of text (and its last item)
+at a time and makes its tables one broadcast. ``CHAINED`` blocks are searched in one pass over the documents; for more, the documents
+with their hits so far are written and read again, so neither the driver nor a worker holds more tables than that, whatever the
+benchmark's size.
 
 Defined cases: a null or empty text (of either table) has no words and is never hit; an item without words has no pattern;
 items with the same item_id count once; words of an item without an id are hits, but it is no item of ``n_items``; repeated
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm.textbuf import small_batches
+from onomast.plans.shared import materialize, release
 
 WINDOW = 13
+CHAINED = 8
+HITS = "n long, spans array<long>, items array<long>"
 #: Maps each byte outside [0-9A-Za-z\x80-\xFF] to a blank and A-Z to a-z.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -114,7 +119,7 @@ def union_length(spans: list[tuple[int, int]]) -> int:
 def _searcher(tables: Broadcast) -> Callable:
     """A function that adds one block's hits to what earlier blocks have found."""
 
-    @F.pandas_udf("n long, spans array<long>, items array<long>")
+    @F.pandas_udf(HITS)
     def search(text: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
         ns, all_spans, all_items = [], [], []
         for t, s, i in zip(text, spans, items):
@@ -130,15 +135,21 @@ def _searcher(tables: Broadcast) -> Callable:
     return search
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of ``docs`` plus ``__n_words long, __spans array<long>`` (start, end alternating, in words) and
-    ``__items array<long>`` (distinct, unordered)."""
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.array().cast("array<long>"), "__items": F.array().cast("array<long>")})
+def find_hits(docs: DataFrame, benchmark: DataFrame, into: str = "hits", window: int = WINDOW, block_bytes: int = 1 << 20, chained: int = CHAINED) -> DataFrame:
+    """All columns of ``docs`` plus ``into``, which ``docs`` may not have: the number of words, the spans that are hit (start, end
+    alternating, in words) and the distinct items, unordered."""
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    for block in [*_blocks(benchmark, block_bytes)] or [[]]:
-        out = out.withColumn("__found", _searcher(sc.broadcast(build(block, window)))("text", "__spans", "__items")).withColumns({"__n_words": F.col("__found.n"), "__spans": F.col("__found.spans"), "__items": F.col("__found.items")}).drop("__found")
-    return out
+    none = F.array().cast("array<long>")
+    out = docs.withColumn(into, F.struct(F.lit(0).cast("long").alias("n"), none.alias("spans"), none.alias("items")))
+    written, i = None, 0
+    for i, block in enumerate(_blocks(benchmark, block_bytes), 1):
+        out = out.withColumn(into, _searcher(docs.sparkSession.sparkContext.broadcast(build(block, window)))("text", F.col(into)["spans"], F.col(into)["items"]))
+        if i % chained == 0:
+            out = materialize(out, "hits")
+            if written is not None:
+                release(written)
+            written = out
+    return out if i else out.withColumn(into, _searcher(docs.sparkSession.sparkContext.broadcast([]))("text", F.col(into)["spans"], F.col(into)["items"]))
 
 
 @F.pandas_udf(T.LongType())
@@ -146,22 +157,18 @@ def _covered(spans: pd.Series) -> pd.Series:
     return pd.Series([union_length([*zip(s[0::2], s[1::2])]) if len(s) else 0 for s in spans], dtype="int64")
 
 
-def is_contaminated() -> Column:
-    """For a row of :func:`find_hits`: a twentieth of the words or more is benchmark text."""
-    return (_covered("__spans") > 0) & (20 * _covered("__spans") >= F.col("__n_words"))
-
-
-def contamination(hits: DataFrame) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256, contaminated in place of the working columns of :func:`find_hits`."""
-    names = F.array_sort(F.transform("__items", lambda i: i.cast("string")))
-    out = hits.withColumns({"n_words": F.col("__n_words"), "n_hit": _covered("__spans"), "n_items": F.size("__items").cast("long"), "items_sha256": F.sha2(F.array_join(names, ","), 256)})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("__n_words", "__spans", "__items")
+def contamination(hits: DataFrame, into: str = "hits") -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256, contaminated in place of the working column of :func:`find_hits`."""
+    hit = F.col(into)
+    names = F.array_sort(F.transform(hit["items"], lambda i: i.cast("string")))
+    out = hits.withColumns({"n_words": hit["n"], "n_hit": _covered(hit["spans"]), "n_items": F.size(hit["items"]).cast("long"), "items_sha256": F.sha2(F.array_join(names, ","), 256)})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop(into)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     slim = docs.select("doc_id", "text")
-    return contamination(find_hits(slim, benchmark, window)).drop("text")
+    return contamination(find_hits(slim, benchmark, window=window)).drop("text")
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple]:

@@ -66,11 +66,15 @@ class ShardStore:
         return [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
 
     def versions(self) -> list[int]:
+        """The versions that can be read; of those that vacuum has emptied only the number is taken."""
+        return [v for v in self._numbers() if self._names(f"manifest/v={v}")]
+
+    def _numbers(self) -> list[int]:
         return sorted(int(n[2:]) for n in self._names("manifest") if n.startswith("v="))
 
     def version(self) -> int:
-        """The highest committed version; 0 before the first."""
-        return max(self.versions(), default=0)
+        """The highest committed version, which vacuum never empties; 0 before the first."""
+        return max(self._numbers(), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The live shards of a version; of version 0, none."""
@@ -185,10 +189,12 @@ class ShardStore:
         return sum(n.startswith("part-") if arrival else "=" in n for n in names)
 
     def vacuum(self, retain: int = 1) -> None:
-        """Delete what none of the latest ``retain`` versions lists, older manifests and what writers have left. Not beside a writer."""
+        """Delete what none of the latest ``retain`` versions (one at least) lists, and what writers have left. Not beside a writer."""
+        retain = max(1, retain)
         versions = self.versions()
         for v in versions[: max(0, len(versions) - retain)]:
-            delete_path(self.spark, f"{self.path}/manifest/v={v}")
+            for n in self._names(f"manifest/v={v}"):  # the empty folder stays, so that no late writer can take the number
+                delete_path(self.spark, f"{self.path}/manifest/v={v}/{n}")
         delete_path(self.spark, f"{self.path}/staged")
         live = None
         for v in versions[-retain:]:
