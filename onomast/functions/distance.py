@@ -25,22 +25,44 @@ def levenshtein(a: Column, b: Column) -> Column:
 
 
 def _osa(a: str, b: str) -> int:
-    """Optimal string alignment distance, rows vectorised along the anti-dependency of insertions."""
-    if a == b:
-        return 0
-    x, y = np.fromiter(map(ord, a), np.int64, len(a)), np.fromiter(map(ord, b), np.int64, len(b))
-    step = np.arange(len(y) + 1)
-    two, one = None, step.copy()
-    for i in range(1, len(x) + 1):
-        row = np.empty(len(y) + 1, np.int64)
-        row[0] = i
-        row[1:] = np.minimum(one[1:] + 1, one[:-1] + (y != x[i - 1]))
-        if two is not None and len(y) > 1:
-            swap = (y[1:] == x[i - 2]) & (y[:-1] == x[i - 1])
-            row[2:] = np.where(swap, np.minimum(row[2:], two[:-2] + 1), row[2:])
-        row = np.minimum.accumulate(row - step) + step
+    return int(osa_of([a], [b])[0])
+
+
+def osa_of(left: list[str], right: list[str], together: int = 1 << 20) -> np.ndarray:
+    """Optimal string alignment distances of pairs. Pairs of similar length fill their grids together, a row at a time; a row's
+    dependence on its own cells, that of insertions, is a running minimum along the row."""
+    out = np.zeros(len(left), np.int64)
+    lengths = np.array([(len(a), len(b)) for a, b in zip(left, right)], np.int64).reshape(-1, 2)
+    order = np.lexsort((lengths[:, 0], lengths[:, 1]))
+    lo = 0
+    while lo < len(order):
+        hi = lo + max(1, together // (int(lengths[order[lo], 1]) + 1))
+        at = order[lo : min(hi, lo + int(np.searchsorted(lengths[order[lo:], 1], 2 * lengths[order[lo], 1] + 8)) + 1)]
+        lo += len(at)
+        out[at] = _grids([left[i] for i in at], [right[i] for i in at], lengths[at])
+    return out
+
+
+def _code_points(strings: list[str], width: int) -> np.ndarray:
+    return np.array(strings, f"<U{max(width, 1)}").view(np.uint32).reshape(len(strings), -1)
+
+
+def _grids(left: list[str], right: list[str], lengths: np.ndarray) -> np.ndarray:
+    x, y = _code_points(left, int(lengths[:, 0].max())), _code_points(right, int(lengths[:, 1].max()))
+    each, step = np.arange(len(left)), np.arange(y.shape[1] + 1)
+    two, one = None, np.tile(step, (len(left), 1))
+    out = lengths[:, 1].copy()  # for an empty left side
+    for i in range(1, int(lengths[:, 0].max()) + 1):
+        row = np.full_like(one, i)
+        row[:, 1:] = np.minimum(one[:, 1:] + 1, one[:, :-1] + (y != x[:, i - 1 : i]))
+        if two is not None and y.shape[1] > 1:
+            crossed = (y[:, 1:] == x[:, i - 2 : i - 1]) & (y[:, :-1] == x[:, i - 1 : i])
+            row[:, 2:] = np.where(crossed, np.minimum(row[:, 2:], two[:, :-2] + 1), row[:, 2:])
+        row = np.minimum.accumulate(row - step, axis=1) + step
+        ended = each[lengths[:, 0] == i]
+        out[ended] = row[ended, lengths[ended, 1]]
         two, one = one, row
-    return int(one[-1])
+    return out
 
 
 def osa() -> object:
@@ -48,7 +70,10 @@ def osa() -> object:
 
     @F.pandas_udf(T.LongType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _osa(x, y) for x, y in zip(a, b)], dtype="Int64")
+        known = (a.notna() & b.notna()).to_numpy()
+        out = pd.Series(pd.NA, range(len(a)), dtype="Int64")
+        out[known] = osa_of(a[known].tolist(), b[known].tolist())
+        return out
 
     return distance
 

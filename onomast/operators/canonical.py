@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from onomast.functions import distance as D
 from onomast.functions import names as N
 from onomast.plans.numbering import number_rows
-from onomast.plans.shared import materialize
+from onomast.plans.shared import materialize, spread
 
 
 def skeleton_corpus(counts: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def elect(grouped: DataFrame, counts: DataFrame, corpus: DataFrame | None = None
     one = by_group.where("n = 1").select("group", "proposed")
     many = materialize(forms.join(by_group.where("n > 1").select("group"), "group"), "forms-to-choose-from")
     other = many.select("group", F.col("form").alias("other"), F.col("weight").alias("other_weight"))
-    costs = many.join(other, "group").where("form <> other").withColumn("cost", F.col("other_weight") * D.osa()(F.col("form"), F.col("other")))
+    costs = spread(many.join(other, "group").where("form <> other"), "form", "other").withColumn("cost", F.col("other_weight") * D.osa()(F.col("form"), F.col("other")))
     costs = costs.groupBy("group", "form", "weight").agg(F.sum("cost").alias("cost")).withColumn("skeleton", N.skeleton(F.col("form")))
     if corpus is not None:
         costs = costs.join(corpus.withColumnRenamed("weight", "agreement"), "skeleton", "left")
@@ -42,7 +42,7 @@ def min_similarity(grouped: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("skeleton").alias("k"))
     forms = grouped.select("group", "skeleton").distinct()
     left, right = forms.withColumnRenamed("skeleton", "l"), forms.withColumnRenamed("skeleton", "r")
-    scores = left.join(right, "group").where("l < r").withColumn("s", D.similarity(F.col("l"), F.col("r")))
+    scores = spread(left.join(right, "group").where("l < r"), "l", "r").withColumn("s", D.similarity(F.col("l"), F.col("r")))
     least = scores.groupBy("group").agg(F.min("s").alias("s"))
     value = F.when(F.col("n") >= 2, F.bround(F.coalesce("s", F.lit(1.0)), 4))
     return sizes.join(least, "group", "left").select("group", value.alias("min_similarity"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from onomast.functions import distance as D
 from onomast.functions import names as N
 from onomast.plans.components import connected_components
-from onomast.plans.shared import materialize
+from onomast.plans.shared import materialize, spread
 
 OFFLINE = ("rules", "damerau")
 FEATURES = ("signature", "norm", "skeleton", "letters")
@@ -28,7 +28,7 @@ def check_arguments(method: str, threshold: float, methods: tuple[str, ...] = OF
 
 def with_features(names: DataFrame) -> DataFrame:
     """Distinct ``name`` with its features and the number ``vertex`` of its feature set (its own for an empty normal form)."""
-    distinct = names.select("name").where("name is not null").distinct()
+    distinct = spread(names.select("name").where("name is not null").distinct(), "name")
     out = distinct.withColumns(N.features(F.col("name")))
     alone = F.when(F.col("norm") == "", F.col("name"))
     return materialize(out.withColumn("vertex", F.xxhash64(*FEATURES, alone)), "features")
@@ -55,7 +55,7 @@ def _links(vertices: DataFrame, method: str, threshold: float) -> DataFrame:
         first = vertices.where("norm <> ''").groupBy("signature", "norm").agg(F.min("vertex").alias("b"))
         pairs = vertices.where("norm <> ''").join(first, ["signature", "norm"]).where(F.col("vertex") != F.col("b")).select(F.col("vertex").alias("a"), "b")
     else:
-        pairs = _candidates(vertices)
+        pairs = spread(_candidates(vertices), "a", "b")
     joined = pairs.join(feature("a", "fa"), "a").join(feature("b", "fb"), "b")
     same_block = F.col("fa.signature") == F.col("fb.signature")
     return joined.where(same_block & D.matches(F.col("fa"), F.col("fb"), method, threshold)).select("a", "b")
@@ -78,10 +78,10 @@ def group_names(names: DataFrame, method: str = "damerau", threshold: float = 0.
     """``name`` -> ``name, group`` with features; group = the least name of its group."""
     check_arguments(method, threshold)
     featured = with_features(names)
-    vertices = materialize(featured.dropDuplicates(["vertex"]).drop("name"), "vertices")
+    vertices = materialize(spread(featured.dropDuplicates(["vertex"]).drop("name"), "vertex"), "vertices")
     components = connected_components(_links(vertices, method, threshold), "names")
     rows = featured.join(components.select(F.col("id").alias("vertex"), "component"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    rows = materialize(rows, "clustered")
+    rows = materialize(spread(rows, "name"), "clustered")
     split = split_on_substitution(rows).drop("vertex")
     least = split.groupBy("component", "part").agg(F.min("name").alias("group"))
     return materialize(split.join(least, ["component", "part"]).drop("component", "part"), "groups")

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/onomast-shared"
 _made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("made", default=None)
@@ -69,6 +70,12 @@ def release(*tables: DataFrame) -> None:
         delete_path(table.sparkSession, table.scratch)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles into, by a hash of columns. Rows that are few bytes but much work would be
+    brought together by their size otherwise; the planner leaves out a deal by columns that the rows are dealt by already."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
