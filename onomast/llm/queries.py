@@ -108,6 +108,21 @@ _DISCLOSURE = r"""
     everything as (select k, count(*) filter (kind = 4) as n_term, string_agg(concat(name, ':', s, ':', e), ',' order by s, kind, e) as spans from (select k, kind, s, e from base union all select k, kind, s, e from apart) join kinds using (kind) group by k)
     select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(written, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_term, 0) as n_term from d left join counts using (k) left join everything using (k)""".replace("OCTET", "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])")
 
+#: Every word cut into longest tokens from the left, a step for all words at a time; the vocabulary is read from its file.
+_TOKENS = r"""
+    with recursive v as (select unnest(json_keys(content, '$.model.vocab')) as token from read_text('VOCABULARY')),
+    longest as (select max(length(token)) as most from v),
+    bytes as (select b, b between 33 and 126 or b between 161 and 172 or b between 174 and 255 as shown from (select unnest(range(256)) as b)),
+    alphabet as (select list(case when shown then chr(cast(b as int)) else chr(cast(256 + fresh as int)) end order by b) as a from (select b, shown, row_number() over (partition by shown order by b) - 1 as fresh from bytes)),
+    d as (select doc_id, row_number() over () as k, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '''s|''t|''re|''ve|''m|''ll|''d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+') as ws from documents),
+    each as (select k, unnest(ws) as word from d),
+    words as (select word, list_append(list_transform(range(0, octet_length(encode(word))), lambda i: a[cast(concat('0x', hex(encode(word))[2 * i + 1:2 * i + 2]) as int) + 1]), '</w>') as s from (select distinct word from each), alphabet),
+    cut as (select word, s, cast(1 as bigint) as p, cast(0 as bigint) as n from words
+      union all select word, any_value(s), p + max(j), any_value(n) + 1 from (select word, s, p, n, unnest(range(1, least(len(s) - p + 1, most) + 1)) as j from cut, longest where p <= len(s)) join v on token = array_to_string(s[p:p + j - 1], '') group by word, p),
+    counted as (select word, coalesce(max(n) filter (p > len(s)), 1) as n from cut group by word),
+    sums as (select k, count(*) as n_words, cast(sum(n) as bigint) as n_tokens from each join counted using (word) group by k)
+    select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_tokens, 0) as n_tokens from d left join sums using (k)""".replace("VOCABULARY", token_counts.VOCABULARY)
+
 #: All 400-byte strings by place, those that occur twice, their runs, what is left.
 _REPEATS = """
     with b as (select row_number() over () as k, doc_id, encode(coalesce(text, '')) as b from documents),
@@ -128,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
             f as (select *, min(page_id) over (partition by s) as first from d)
             select page_id, n as payload_bytes, s as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from f""",
         "op2_disclosure": _DISCLOSURE,
+        "op3_token_counts": _TOKENS,
         "op5_repeated_passages": _REPEATS,
         "op6_near_duplicates": f"""with recursive {_SHINGLES}, both_ways as (select a, b from links union all select b, a from links), {_COMPONENTS},
             c as (select v, min(r) as component_id from reach group by 1)
