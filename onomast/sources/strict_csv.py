@@ -7,7 +7,6 @@ row in the file. One file has one reader: a record can span lines, so a file isn
 from __future__ import annotations
 
 import csv
-import io
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,23 +38,27 @@ def decode(path: str | Path, encoding: str) -> str:
 
 
 def records(path: str | Path, encoding: str) -> Iterator[list[str]]:
-    """The header, then every record padded to its width. A blank line is a row of empty values."""
+    """The header, then every record padded to its width, read as it goes. A blank line is a row of empty values."""
     csv.field_size_limit(MAX_FIELD)
-    reader = csv.reader(io.StringIO(decode(path, encoding), newline=""), strict=True)
     header: list[str] | None = None
-    try:
-        for row in reader:
-            if header is None:
-                if not row:
-                    raise ValueError(f"{path} has no header")
-                header = row
-            elif len(row) > len(header):
-                raise ValueError(f"{path}: the row at line {reader.line_num} has {len(row)} values, the header {len(header)}")
-            if any("\0" in v for v in row):
-                raise ValueError(f"{path}: line {reader.line_num} holds a NUL character")
-            yield row + [""] * (len(header) - len(row))
-    except csv.Error as e:
-        raise ValueError(f"{path} cannot be read as CSV near line {reader.line_num}: {e}") from e
+    with open(path, encoding=encoding, newline="") as f:
+        reader = csv.reader(f, strict=True)
+        try:
+            for row in reader:
+                if header is None:
+                    if not row:
+                        raise ValueError(f"{path} has no header")
+                    header = row
+                elif len(row) > len(header):
+                    raise ValueError(f"{path}: the row at line {reader.line_num} has {len(row)} values, the header {len(header)}")
+                if any("\0" in v for v in row):
+                    raise ValueError(f"{path}: line {reader.line_num} holds a NUL character")
+                yield row + [""] * (len(header) - len(row))
+        except csv.Error as e:
+            raise ValueError(f"{path} cannot be read as CSV near line {reader.line_num}: {e}") from e
+        except UnicodeDecodeError:
+            decode(path, encoding)  # says where in the file
+            raise
     if header is None:
         raise ValueError(f"{path} is empty")
 
