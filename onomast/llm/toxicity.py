@@ -65,6 +65,22 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(row, term, n), -30, 30)))
 
 
+def associated(row: np.ndarray, term: np.ndarray, label: np.ndarray, rows: np.ndarray, max_terms: int = 4096, min_df: int = 4, cut: float = CUTS[-1]) -> np.ndarray:
+    """The terms in ``min_df`` of the marked rows or more whose chi squared with the label is above ``cut``: the ``max_terms`` strongest.
+    Counted a piece at a time, so that no copy of all places is made."""
+    size, n = 1 << BITS, int(rows.sum())
+    df, pos, at_1 = np.zeros(size), np.zeros(size), rows & (label > 0)
+    for lo in range(0, len(term), 1 << 19):
+        r, t = row[lo : lo + (1 << 19)], term[lo : lo + (1 << 19)]
+        df += np.bincount(t[rows[r]], minlength=size)
+        pos += np.bincount(t[at_1[r]], minlength=size)
+    rate_1 = at_1.sum() / max(n, 1)
+    with np.errstate(all="ignore"):
+        chi = np.where(df >= min_df, (pos - df * rate_1) ** 2 / np.maximum(df * rate_1 * (1 - rate_1) * (1 - df / max(n, 1)), 1e-9), 0)
+    kept = np.argsort(-chi, kind="stable")[:max_terms]
+    return np.sort(kept[chi[kept] > cut])
+
+
 def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     """The rows of ``x`` added up by ``at``."""
     return np.stack([np.bincount(at, c, n) for c in x.T], 1)
@@ -73,21 +89,16 @@ def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8, max_terms: int = 4096, min_df: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, seed: int = 7, cut: float = CUTS[-1]) -> FactorizationMachine:
     """Adagrad on the logistic loss. Terms kept: those in ``min_df`` texts or more with the strongest association (chi
     squared above ``cut``) with the label; the rest get no parameters, so the many neutral words of a long text add no noise."""
-    size, n = 1 << BITS, len(label)
-    df = np.bincount(term, minlength=size).astype(float)
-    pos = np.bincount(term, label[row], minlength=size)
-    rate_1 = label.mean() if n else 0.0
-    with np.errstate(all="ignore"):
-        chi = np.where(df >= min_df, (pos - df * rate_1) ** 2 / np.maximum(df * rate_1 * (1 - rate_1) * (1 - df / max(n, 1)), 1e-9), 0)
-    kept = np.argsort(-chi, kind="stable")[:max_terms]
-    kept = np.sort(kept[chi[kept] > cut])
-    slot = np.full(size, -1, np.int64)
+    n, rate_1 = len(label), label.mean() if len(label) else 0.0
+    kept = associated(row, term, label, np.ones(n, bool), max_terms, min_df, cut)
+    slot = np.full(1 << BITS, -1, np.int64)
     slot[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), factors))
     w0 = float(np.log((rate_1 + 1e-6) / (1 - rate_1 + 1e-6)))
     gw, gv, g0 = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    row, s = row[slot[term] >= 0], slot[term][slot[term] >= 0]
+    used = np.isin(term, kept)
+    row, s = row[used], slot[term[used]]
     begins = np.searchsorted(row, np.arange(n + 1))
     for _ in range(epochs if len(kept) else 0):
         order = rng.permutation(n)
@@ -116,10 +127,11 @@ def choose_cut(row: np.ndarray, term: np.ndarray, label: np.ndarray, inner: np.n
     """Of ``CUTS`` the one whose fit on the other rows has the least logistic loss on those of ``inner``."""
     if len(np.unique(label[~inner])) < 2 or not inner.any():
         return CUTS[-1]
-    number = np.cumsum(~inner) - 1
-    learn = ~inner[row]
-    tested = np.cumsum(inner) - 1
-    truth, losses = label[inner], []
+    number, tested = np.cumsum(~inner) - 1, np.cumsum(inner) - 1
+    # The least cut keeps what any of them keeps; the few places of these terms are all that is copied.
+    used = np.isin(term, associated(row, term, label, ~inner, cut=CUTS[0]))
+    row, term = row[used], term[used]
+    learn, truth, losses = ~inner[row], label[inner], []
     for cut in CUTS:
         model = fit(number[row[learn]], term[learn], label[~inner], epochs=6, cut=cut)
         p = np.clip(model.scores(tested[row[~learn]], term[~learn], int(inner.sum())), 1e-6, 1 - 1e-6)
@@ -153,9 +165,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_row
     release(sample)
     if got.empty or got["label"].nunique() < 2:
         return None
-    terms = [np.frombuffer(t, np.int32) for t in got["terms"]]
-    row, term, label = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), got["label"].to_numpy(float)
-    inner = got["place"].to_numpy() % 5 == 0
+    label, inner = got["label"].to_numpy(float), got["place"].to_numpy() % 5 == 0
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) // 4 for t in got["terms"]])
+    term = np.frombuffer(b"".join(got["terms"]), np.int32)
+    del got
     return fit(row, term, label, cut=choose_cut(row, term, label, inner))
 
 
