@@ -120,7 +120,10 @@ def _find(cosine: float, radius: int):
         codes = np.stack([np.frombuffer(c, np.int64) for c in pdf["pieces"]])
         bits = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), -1)
         a, b = np.flatnonzero(cell == left), np.flatnonzero(cell == right)
-        near = np.bitwise_count(bits[a][:, None, :] ^ bits[b][None, :, :]).sum(2, dtype=np.int64) <= radius
+        differing = np.zeros((len(a), len(b)), np.uint8)  # of CODE bits, which is less than 256
+        for word in bits.T:
+            differing += np.bitwise_count(word[a][:, None] ^ word[b][None, :])
+        near = differing <= radius
         if left == right:
             near = np.triu(near, 1)
         rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
