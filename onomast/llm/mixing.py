@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +31,7 @@ from onomast.plans.shared import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 COPIES = 3
 #: Runs of the hash order from which a pattern's last copies are taken; each leaves less than the document that it stopped at.
-RUNS = 4
+RUNS = 2
 WEIGHTS = (1, 2, 3)
 
 
@@ -125,6 +126,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """Rows of longs as a local table, which costs no job."""
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))}))
+
+
 def _next_cut(sized: DataFrame, asked: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
     """For each pattern, of its documents from ``low`` on in the order of hashes that are no larger than ``room``, the longest run of
     hashes that fits into it: the hash behind it and the room that is left. Three levels, of 11, 11 and 10 bits, so that at most 2048
@@ -133,7 +139,7 @@ def _next_cut(sized: DataFrame, asked: dict[int, tuple[int, int]]) -> dict[int,
     for above, bits in ((32, 21), (21, 10), (10, 0)):
         if not state:
             break
-        at = spark.createDataFrame([(p, *x) for p, x in state.items()], "__pattern long, __low long, __room long, __above long, __most long")
+        at = _table(spark, [(p, *x) for p, x in state.items()], "__pattern", "__low", "__room", "__above", "__most")
         prefix = F.shiftrightunsigned("__order", bits)
         inside = sized.join(F.broadcast(at), "__pattern").where((F.col("__order") >= F.col("__low")) & (F.col("__size") <= F.col("__most")))  # a row a pattern
         inside = inside.where(F.shiftrightunsigned("__order", above) == F.col("__above"))
@@ -221,9 +227,12 @@ def copies_of(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``; rows without words
     give the mix nothing and aren't taken."""
     _, table, _, _ = plan_mix(docs, F.array("source"), seed)
-    pattern, copies, runs, size, again = (free_name(docs, c) for c in ("pattern", "copies", "runs", "words", "again"))
+    pattern, copies, runs, place, size, again = (free_name(docs, c) for c in ("pattern", "copies", "runs", "place", "words", "again"))
     table = table.select(F.col("__pattern").alias(pattern), F.col("__copies").alias(copies), F.col("__runs").alias(runs))
-    keyed = docs.withColumns({pattern: F.xxhash64(F.array("source"), F.lit(1)), size: word_count()})
-    taken = keyed.join(F.broadcast(table), pattern).where(F.col(size) > 0)  # a row a pattern
-    times = _times(F.col(runs), F.col(copies), seeded_order(seed), F.col(size))
-    return taken.withColumn(again, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
+    keyed = docs.where(F.col("text").rlike(WORD)).withColumns({pattern: F.xxhash64(F.array("source"), F.lit(1)), place: seeded_order(seed)})
+    placed = keyed.join(F.broadcast(table), pattern)  # a row a pattern
+    # Words are counted again only where a run may take the document.
+    order = F.col(place)
+    within = F.exists(runs, lambda r: (order >= r["low"]) & (order < r["high"]))
+    times = _times(F.col(runs), F.col(copies), order, F.col(size))
+    return placed.withColumn(size, F.when(within, word_count())).withColumn(again, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
