@@ -83,7 +83,7 @@ def associated(row: np.ndarray, term: np.ndarray, label: np.ndarray, rows: np.nd
 
 def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     """The rows of ``x`` added up by ``at``."""
-    return np.stack([np.bincount(at, c, n) for c in x.T], 1)
+    return np.stack([np.bincount(at, c, n) for c in x.T], 1).astype(float)  # of no rows, bincount makes integers
 
 
 def fit(row: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 8, max_terms: int = 4096, min_df: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, seed: int = 7, cut: float = CUTS[-1]) -> FactorizationMachine:
