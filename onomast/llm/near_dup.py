@@ -23,7 +23,8 @@ sharing no first node; the size of the nodes it shares doesn't matter. What is b
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer than five words has one
 shingle, its whole word sequence; a null doc_id is never a component's id unless no member has one, and then the id is null;
-repeated rows are exact copies. An empty table gives an empty result. Extra columns are ignored.
+repeated rows are exact copies; doc_id may have any type that a string can be cast back to. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
