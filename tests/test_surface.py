@@ -94,9 +94,15 @@ def test_replacing_is_all_or_none(tmp_path):
 SOURCE = "sample_id\nS1_B1\ns1-b1\nP3_B2\np3-b2\nCTRL_rep1_b1\nctrl-r1-batch1\n"
 
 
+_PROPOSED: dict = {}
+
+
 def proposed(spark, tmp_path):
+    """The proposal for SOURCE in a folder of its own; made once."""
     (tmp_path / "in.csv").write_text(SOURCE)
-    m = propose_csv(spark, tmp_path / "in.csv", "sample_id", method="damerau")
+    if not _PROPOSED:
+        _PROPOSED.update(propose_csv(spark, tmp_path / "in.csv", "sample_id", method="damerau").to_dict())
+    m = artifact.Mapping.from_dict(copy.deepcopy(_PROPOSED) | {"input_file": str(tmp_path / "in.csv")})
     artifact.write(m, tmp_path / "m.json")
     return m
 
