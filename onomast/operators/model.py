@@ -129,7 +129,9 @@ def guard(names: DataFrame, answer: DataFrame, representative: DataFrame | None
     """Groups from a model's answer, split until each has one identity.
 
     ``names``: feature rows (name, signature, norm, skeleton, letters). ``answer``: ``name, canonical``, of the names or, with
-    ``representative`` (``name, rep``), of representatives. Returns ``name, group, proposed`` with features."""
+    ``representative`` (``name, rep``), of representatives; a name answered more than once takes the least of its answers. Returns
+    ``name, group, proposed`` with features, a row for each name."""
+    answer = answer.groupBy("name").agg(F.min("canonical").alias("canonical"))
     spoken = names if representative is None else None
     if spoken is None:
         reps = representative.select(F.col("rep").alias("name")).distinct()

@@ -70,6 +70,11 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return prof.name_counts(noisy(spark, d), "raw_name")
 
 
+def _as_written(spark: SparkSession, d: str, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``found`` of distinct names, for each row of the noisy names: from 10,000 on, padding to four digits cuts numbers, so names repeat."""
+    return noisy(spark, d).select(F.col("raw_name").alias("name")).join(found, "name", how)
+
+
 def name_prepare(spark, d):
     return _names(spark, d).select("name", N.prepare(F.col("name")).alias("prepared"))
 
@@ -280,7 +285,7 @@ def model_guard(spark, d):
     rows = noisy(spark, d)
     answer = rows.select(F.col("raw_name").alias("name"), F.concat(F.lit("patient1_batch"), "b").alias("canonical"))
     featured = cluster.with_features(counts.select("name")).select("name", *cluster.FEATURES)
-    return model.guard(featured, answer).select("name", "group", "proposed")
+    return _as_written(spark, d, model.guard(featured, answer).select("name", "group", "proposed"))
 
 
 def _written_csv(spark, d) -> str:
