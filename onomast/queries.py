@@ -156,7 +156,7 @@ def name_profile(spark, d):
 
 
 def group_rules(spark, d):
-    return cluster.group_names(_counts(spark, d).select("name"), "rules").select("name", "group")
+    return _as_written(spark, d, cluster.group_names(_counts(spark, d).select("name"), "rules").select("name", "group"), "left")
 
 
 def group_damerau(spark, d):

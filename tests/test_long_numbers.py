@@ -44,3 +44,7 @@ def test_a_name_answered_twice_is_one_row(spark):
     said = [("p1_b1", "patient1_batch1"), ("p1_b1", "patient1_batch1"), ("p1_b1", "q1_b1"), ("patient1_batch1", "patient1_batch1")]
     out = model.guard(names, spark.createDataFrame(said, "name string, canonical string")).select("name", "group", "proposed")
     assert sorted(map(tuple, out.collect())) == [("p1_b1", "p1_b1", "patient1_batch1"), ("patient1_batch1", "p1_b1", "patient1_batch1")]
+
+
+def test_group_rules(spark, folder):
+    assert rows_of_spark("group_rules", spark, folder) == rows_of_sql("group_rules", folder)
