@@ -142,10 +142,10 @@ def describe(a: Column, b: Column, left: Column, right: Column) -> Column:
 
 
 def matches(a: Column, b: Column, method: str, threshold: float) -> Column:
-    """Whether two names of one signature join, decided in the order in which the rules exclude each other."""
+    """Whether two names join, decided in the order in which the rules exclude each other; names of different signatures never do."""
     pair = comparable(a, b)
     left, right = pair["l"], pair["r"]
-    out = F.when(gained_token(a["letters"], b["letters"]), False).when((a["norm"] != "") & (a["norm"] == b["norm"]), True)
+    out = F.when(a["signature"] != b["signature"], False).when(gained_token(a["letters"], b["letters"]), False).when((a["norm"] != "") & (a["norm"] == b["norm"]), True)
     if method == "rules":
         return out.otherwise(False)
     out = out.when((left == "") | (right == ""), False)

@@ -48,3 +48,7 @@ def test_a_name_answered_twice_is_one_row(spark):
 
 def test_group_rules(spark, folder):
     assert rows_of_spark("group_rules", spark, folder) == rows_of_sql("group_rules", folder)
+
+
+def test_match_predicate(spark, folder):
+    assert rows_of_spark("match_predicate", spark, folder) == rows_of_sql("match_predicate", folder)
