@@ -52,3 +52,11 @@ def test_group_rules(spark, folder):
 
 def test_match_predicate(spark, folder):
     assert rows_of_spark("match_predicate", spark, folder) == rows_of_sql("match_predicate", folder)
+
+
+def test_qc_counts_sum_the_group_table(spark, folder):
+    """Not the SQL of qc_counts, which groups by the number that a name was made from and not by the one it holds."""
+    table = rows_of_sql("group_table", folder)
+    sizes = [len(members.split("|")) for _, _, members, *_ in table]
+    ((merges, names, _, samples), _), = rows_of_spark("qc_counts", spark, folder).items()
+    assert (names, samples, merges) == (sum(sizes), len(sizes), sum(n > 1 for n in sizes))
