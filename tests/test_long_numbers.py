@@ -60,3 +60,9 @@ def test_qc_counts_sum_the_group_table(spark, folder):
     sizes = [len(members.split("|")) for _, _, members, *_ in table]
     ((merges, names, _, samples), _), = rows_of_spark("qc_counts", spark, folder).items()
     assert (names, samples, merges) == (sum(sizes), len(sizes), sum(n > 1 for n in sizes))
+
+
+def test_qc_sizes_are_those_of_the_group_table(spark, folder):
+    table = rows_of_sql("group_table", folder)
+    shown = Counter((i, final, len(members.split("|")), rows) for final, i, members, _, _, _, rows, _ in table if "|" in members)
+    assert rows_of_spark("qc_sizes", spark, folder) == Counter({(i, label, rows, n): k for (i, label, n, rows), k in shown.items()})
