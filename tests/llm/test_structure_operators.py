@@ -65,6 +65,26 @@ def test_repeated_passages_against_brute_force(spark, monkeypatch, group):
     assert repeated_passages.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_planted_passages_are_caught_from_400_bytes_on_and_nothing_else_is(spark):
+    rng = random.Random(51)
+    words = lambda n, length: " ".join("".join(rng.choices("abcdefghijklmnopéü", k=length)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):  # 51 to 62 words each, of 3 letters (below 400 bytes) or of 9
+        passage = words(51 + i, 3 if i % 2 else 9)
+        assert (len(passage.encode()) < 398) == bool(i % 2)
+        for side in "xyz"[: rng.choice([2, 3])]:
+            doc = len(rows)
+            before, after = f"{words(60, 6)} {side}", f"{side} {words(60, 6)}"
+            want[doc] = (0, 0, f"{before} {passage} {after}") if i % 2 else (len(passage.encode()) + 2, 1, before + after)
+            rows.append((doc, f"{before} {passage} {after}"))
+    rows += [(1000 + i, words(rng.randrange(40, 200), 6)) for i in range(12)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeated_passages.remove_repeats(docs(spark, rows)).collect()}
+    for doc, text in rows:
+        removed, spans, kept = want.get(doc, (0, 0, text))
+        # n_bytes is the text's own length whatever is removed, so a passage found can't be read from it.
+        assert got[doc] == (len(text.encode()), removed, spans, hashlib.sha256(kept.encode()).hexdigest()), doc
+
+
 def test_hash_compared_sort():
     rng = random.Random(3)
     for _ in range(20):
